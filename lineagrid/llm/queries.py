@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, packing, token_output
+from . import block_naming, packing, token_output, word_table
 from .common import read_table
 
 
@@ -40,6 +40,10 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_index(token_output.write_segments(encoded))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
