@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, packing, token_output, word_table
+from . import block_naming, hyperminhash, packing, token_output, word_table
 from .common import read_table
 
 
@@ -34,6 +34,10 @@ FROM t WINDOW w AS (PARTITION BY norm)
 """
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = token_output.encode_documents(read_table(spark, sf_dir, "documents"), path, end_id=0)
