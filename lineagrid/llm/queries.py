@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, hyperminhash, packing, token_output, word_table
-from .common import read_table
+from . import block_naming, hyperminhash, packing, simhash, token_output, word_table
+from .common import materialise, read_table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(*columns)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also ``n_near``: documents within the Hamming radius, for every doc_id that 50 divides."""
+    prints = materialise(simhash.edited_likeness(read_table(spark, sf_dir, "documents")), "prints")
+    near = simhash.neighbour_counts(prints)
+    asked = F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near")
+    return prints.join(near, ["f0", "f1"], "left").select(*[c for c in prints.columns if c not in ("f0", "f1")], asked)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_groups(read_table(spark, sf_dir, "documents"))
 
