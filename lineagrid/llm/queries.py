@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, hyperminhash, packing, simhash, token_output, word_table
+from . import block_naming, chat, hyperminhash, packing, simhash, token_output, word_table
 from .common import materialise, read_table
 
 
@@ -42,6 +42,13 @@ FROM t WINDOW w AS (PARTITION BY norm)
 """
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.unionByName(own)))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_groups(read_table(spark, sf_dir, "documents"))
 
