@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, chat, hyperminhash, packing, simhash, token_output, word_table
+from . import block_naming, chat, hyperminhash, packing, simhash, token_output, toxicity, word_table
 from .common import materialise, read_table
 
 
@@ -27,6 +27,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(near, ["f0", "f1"], "left").select(*[c for c in prints.columns if c not in ("f0", "f1")], asked)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_groups(read_table(spark, sf_dir, "documents"))
 
