@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, chat, hyperminhash, packing, simhash, token_output, toxicity, word_table
+from . import block_naming, chat, hyperminhash, packing, pii, simhash, token_output, toxicity, word_table
 from .common import materialise, read_table
 
 
@@ -31,6 +31,30 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.train(docs))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s.startswith(f"{kind}:"))).cast("bigint").alias(f"n_{kind}")
+
+    order = F.array(*[F.lit(k) for k in pii.KINDS])
+    parts = F.transform(
+        F.concat("base", "added"),
+        lambda s: F.struct(
+            F.array_position(order, F.split(s, ":")[0]).alias("kind"), F.split(s, ":")[1].cast("bigint").alias("start"), s.alias("span")
+        ),
+    )
+    every = F.array_join(F.transform(F.array_sort(parts), lambda p: p["span"]), ",")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
+        every.alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_groups(read_table(spark, sf_dir, "documents"))
 
