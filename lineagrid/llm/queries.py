@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, chat, hyperminhash, packing, pii, simhash, token_output, toxicity, word_table
+from . import block_naming, chat, hyperminhash, log_templates, packing, pii, simhash, token_output, toxicity, word_table
 from .common import materialise, read_table
 
 
@@ -81,6 +81,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = log_templates.drop_recurring_lines(read_table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("kept_chars"), sha)
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = token_output.encode_documents(read_table(spark, sf_dir, "documents"), path, end_id=0)
