@@ -7,8 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker. Texts
@@ -61,6 +62,19 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``materialise``, but in buckets of ``key``: a join on it with as many partitions needs no shuffle here."""
+    spark = df.sparkSession
+    table = f"lineagrid_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    writer = df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key)
+    writer.format("parquet").saveAsTable(table)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append(path)
+    return spark.table(table)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that no later step reads."""
     for path in [p for p in _written if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles()[:1])]:
@@ -104,6 +118,49 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a membership table, whatever the number of members.
+TABLE_BITS = 1 << 25
+
+
+def bit_table(members: DataFrame, column: str) -> np.ndarray:
+    """A table of ``TABLE_BITS`` bits in which those of all 64-bit hashes in ``column`` are set.
+
+    At most ``TABLE_BITS / 32`` rows reach the driver. ``in_table`` is true for
+    all members and, while they are far fewer than bits, for few others; it
+    spares a shuffle and is followed by an exact join.
+    """
+    place = F.pmod(column, F.lit(TABLE_BITS))
+    words = members.select(
+        F.floor(place / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 32) as int))").alias("b")
+    )
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(TABLE_BITS // 32, dtype=np.uint32)
+    table[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.uint32)
+    return table
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes.astype(np.int64) % TABLE_BITS
+    return (table[place // 32] >> (place % 32).astype(np.uint32)) & 1 > 0
+
+
+def where_in_table(df: DataFrame, hashed: Column, table: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows whose ``hashed`` is (or surely is not) a member; all columns."""
+    held = df.sparkSession.sparkContext.broadcast(table)
+
+    def make():
+        bits = held.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = in_table(bits, batch.column(batch.num_columns - 1).to_numpy())
+            keep = batch.filter(pa.array(found if inside else ~found))
+            return pa.RecordBatch.from_arrays(keep.columns[:-1], names=keep.schema.names[:-1])
+
+        return step
+
+    return map_batches(df.select("*", hashed.alias("_h")), make, df.schema)
+
+
 def record_batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

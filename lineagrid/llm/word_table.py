@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches, materialise, record_batch, shuffle_partitions, text_bytes
+from .common import bound_batches, map_batches, materialise_bucketed, record_batch, shuffle_partitions, text_bytes
 from .encoding import WordEncoder, load_tokenizer, separated_words
 
 #: Bytes of text after which a block is closed; a longer document is a block of its own.
@@ -97,7 +97,7 @@ def split_into_blocks(docs: DataFrame, parts: int, block_bytes: int = BLOCK_BYTE
             yield from _close_block(block, doc_ids, texts, parts)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), text_bytes())
-    return materialise(rows.mapInArrow(run, _SCHEMA), "blocks")
+    return materialise_bucketed(rows.mapInArrow(run, _SCHEMA), "blocks", "block", parts)
 
 
 def encode_words(words: DataFrame, tokenizer_path: str, parts: int) -> DataFrame:
@@ -141,29 +141,28 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES)
     parts = shuffle_partitions(spark)
     blocks = split_into_blocks(docs, parts, block_bytes)
     answers = encode_words(blocks.where(F.col("part") != _DOCS), tokenizer_path, parts)
-    both = answers.unionByName(blocks.where(F.col("part") == _DOCS))
-    # Answers come first, the documents of the block last.
-    both = both.repartition(parts, "block").sortWithinPartitions("block", F.desc("part"))
+    # A block has an answer from each part at most; its documents stay where they were written.
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("payload", "detail")).alias("answers"))
+    both = blocks.where(F.col("part") == _DOCS).join(answers, "block", "left")
+    both = both.select("payload", "detail", "doc_ids", "answers")
     dtype = WordEncoder(tokenizer_path, 0).dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = dtype.itemsize
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for _, part, payload, detail, doc_ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != _DOCS:
-                    blob = _expand(payload)
+            for k in range(batch.num_rows):
+                payload, detail, doc_ids, found = (c[k].as_py() for c in batch.columns)
+                held = []
+                for answer in found or []:
+                    blob = _expand(answer["payload"])
                     n = int.from_bytes(blob[:4], "little")
                     widths = np.frombuffer(blob, dtype="<u4", count=n, offset=4)
-                    held.append((_unpack_ranks(detail), widths, np.frombuffer(blob, dtype=dtype, offset=4 + 4 * n)))
-                    continue
-                yield from _restore(held, _unpack_ranks(payload), np.frombuffer(_expand(detail), "<u4"), doc_ids, size)
-                held = []
+                    held.append((_unpack_ranks(answer["detail"]), widths, np.frombuffer(blob, dtype=dtype, offset=4 + 4 * n)))
+                yield from _restore(held, _unpack_ranks(payload), np.frombuffer(_expand(detail), "<u4"), doc_ids)
 
     return both.mapInArrow(run, "doc_id bigint, ids binary")
 
 
-def _restore(held, ranks: np.ndarray, counts: np.ndarray, doc_ids: list, size: int) -> Iterator[pa.RecordBatch]:
+def _restore(held, ranks: np.ndarray, counts: np.ndarray, doc_ids: list) -> Iterator[pa.RecordBatch]:
     """Put ids in the places of a block's words, some documents at a time."""
     words = sum(len(h[0]) for h in held)
     width, first = np.zeros(words, dtype=np.int64), np.zeros(words, dtype=np.int64)
