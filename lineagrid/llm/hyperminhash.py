@@ -16,7 +16,7 @@ confirmed on full sets if its collision-corrected estimate allows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches, materialise, record_batch, text_bytes
+from .common import bit_table, bound_batches, map_batches, materialise, record_batch, text_bytes, where_in_table
 from .components import components
 
 SHINGLE = 5
@@ -153,43 +153,14 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     return rows.where("least != most").select("bucket", "band", "rep")
 
 
-def _active(spark, ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
-    """A membership test of fixed size for ``id``: true for all of them and few others."""
-    bits = 1 << 25
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(F.floor(place / 32).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 32) as int))").alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most bits / 32 rows
-    table = np.zeros(bits // 32, dtype=np.uint32)
-    table[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.uint32)
-    return spark.sparkContext.broadcast(table)
-
-
 def active_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``id, text`` of the rows of ``docs`` whose doc_id is among ``ids(id)``, written once.
 
     A bit table of fixed size drops most other rows before the shuffle.
     """
-    table = _active(docs.sparkSession, ids)
-
-    def make():
-        bits = table.value
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            place = batch.column(2).to_numpy().astype(np.int64)
-            at = batch.column(3).to_numpy().astype(np.uint32)
-            keep = (bits[place] >> at) & 1 > 0
-            return batch.filter(pa.array(keep)).select([0, 1])
-
-        return step
-
-    hashed = F.xxhash64(F.col("doc_id").cast("bigint"))
-    rows = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("bigint").alias("id"),
-        text_bytes().alias("text"),
-        F.floor(F.pmod(hashed, F.lit(1 << 25)) / 32).cast("int").alias("w"),
-        F.pmod(hashed, F.lit(32)).cast("int").alias("at"),
-    )
-    rows = map_batches(rows, make, "id bigint, text binary")
+    table = bit_table(ids.select(F.xxhash64("id").alias("h")), "h")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), text_bytes().alias("text"))
+    rows = where_in_table(rows, F.xxhash64("id"), table)
     return materialise(rows.join(ids.select("id").distinct(), "id", "left_semi"), "texts")
 
 
@@ -363,3 +334,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id; all columns.
+
+    Rows without doc_id are told apart by their text. Of rows that share a
+    doc_id one stays.
+    """
+    made = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), made))
+    groups = materialise(near_groups(rows.select(F.col("_id").alias("doc_id"), "text")), "groups")
+    gone = groups.where("not kept and component_id is not null").select(F.col("doc_id").alias("_id"))
+    twice = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    suspect = materialise(gone.unionByName(twice).distinct(), "suspects")
+    table = bit_table(suspect.select(F.xxhash64("_id").alias("h")), "h")
+    sure = where_in_table(rows, F.xxhash64("_id"), table, inside=False)
+    rest = where_in_table(rows, F.xxhash64("_id"), table).join(gone, "_id", "left_anti").dropDuplicates(["_id"])
+    return sure.unionByName(rest).drop("_id")

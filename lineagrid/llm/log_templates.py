@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches, materialise, record_batch, text_bytes
+from .common import bit_table, bound_batches, in_table, map_batches, materialise, record_batch, text_bytes
 
 #: Leading tokens that lead to a leaf, after the number of tokens.
 DEPTH = 3
@@ -35,7 +35,6 @@ MIN_DOCS = 10
 LEAF_LINES = 4000
 FIELD = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
-_BITS = 1 << 25
 
 
 def masked_tokens(line: bytes) -> list[bytes]:
@@ -80,23 +79,6 @@ def leaf_documents(docs: DataFrame) -> DataFrame:
     return map_batches(_lines(docs), make, "leaf bigint, docs bigint").groupBy("leaf").agg(F.sum("docs").alias("docs"))
 
 
-def _bit_table(hashes: DataFrame) -> np.ndarray:
-    """A table of fixed size in which the bits of all ``h`` are set."""
-    words = hashes.select(
-        F.floor(F.pmod("h", F.lit(_BITS)) / 32).cast("int").alias("w"),
-        F.expr("shiftleft(1L, cast(pmod(h, 32) as int))").alias("b"),
-    )
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most _BITS / 32 rows
-    table = np.zeros(_BITS // 32, dtype=np.uint32)
-    table[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.uint32)
-    return table
-
-
-def _has(table: np.ndarray, h: int) -> bool:
-    place = h % _BITS
-    return bool((int(table[place // 32]) >> (h % 32)) & 1)
-
-
 def _candidate_lines(docs: DataFrame, table) -> DataFrame:
     """``leaf, line, text, docs``: distinct masked lines of likely leaves, by task, with their documents."""
 
@@ -106,17 +88,17 @@ def _candidate_lines(docs: DataFrame, table) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found: dict[int, list] = {}
             for text in batch.column(1).to_pylist():
+                lines = [t for raw in text.split(b"\n") if (t := masked_tokens(raw))]
+                leaves = [leaf_of(t) for t in lines]
                 own = set()
-                for raw in text.split(b"\n"):
-                    tokens = masked_tokens(raw)
-                    if tokens and _has(bits, leaf := leaf_of(tokens)):
-                        h = line_hash(tokens)
-                        if h not in own:
-                            own.add(h)
-                            if h in found:
-                                found[h][2] += 1
-                            else:
-                                found[h] = [leaf, b" ".join(tokens), 1]
+                for k in np.flatnonzero(in_table(bits, np.array(leaves, dtype=np.int64))).tolist():
+                    h = line_hash(lines[k])
+                    if h not in own:
+                        own.add(h)
+                        if h in found:
+                            found[h][2] += 1
+                        else:
+                            found[h] = [leaves[k], b" ".join(lines[k]), 1]
             rows = list(found.values())
             return record_batch(
                 leaf=pa.array([r[0] for r in rows], type=pa.int64()),
@@ -181,7 +163,7 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES
     spark = docs.sparkSession
     bound_batches(spark)
     leaves = leaf_documents(docs).where(F.col("docs") >= min_docs)
-    table = spark.sparkContext.broadcast(_bit_table(leaves.select(F.col("leaf").alias("h"))))
+    table = spark.sparkContext.broadcast(bit_table(leaves, "leaf"))
     lines = _split_leaves(_candidate_lines(docs, table), limit)
     lines = lines.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("docs"), "text")
 
@@ -219,7 +201,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int =
     """
     spark = docs.sparkSession
     found = templates(docs, min_docs, limit)
-    table = spark.sparkContext.broadcast(_bit_table(found.select(F.col("line").alias("h"))))
+    table = spark.sparkContext.broadcast(bit_table(found, "line"))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text")
     )
@@ -232,7 +214,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int =
             for text in batch.column(2).to_pylist():
                 own = text.split(b"\n")
                 hashes = [line_hash(t) if (t := masked_tokens(x)) else None for x in own]
-                lines.append([h for h in dict.fromkeys(hashes) if h is not None and _has(bits, h)])
+                distinct = np.array([h for h in dict.fromkeys(hashes) if h is not None], dtype=np.int64)
+                lines.append(distinct[in_table(bits, distinct)].tolist())
                 counts.append(len(own))
             return record_batch(
                 row=batch.column(0),
