@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shuffle_partitions
+from .common import bit_table, discard, materialise, shuffle_partitions, where_in_table
 
 #: Bytes of a block.
 BLOCK = 2048
@@ -113,8 +113,16 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, digest=digest_of) -> DataF
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without later copies: one row of each group of equal texts, all columns."""
-    groups = exact_groups(docs.select("doc_id", "text")).where("kept")
-    kept = groups.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_kept_sha"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    groups = materialise(exact_groups(docs.select("doc_id", "text")), "groups")
+    text_sha = F.sha2(normalised(F.col("text")).cast("binary"), 256)
+    copies = groups.where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s")).distinct()
+    table = bit_table(copies.select(F.xxhash64("_d", "_s").alias("h")), "h")
+    rows = docs.withColumn("_sha", text_sha)
+    hashed = F.xxhash64(F.col("doc_id").cast("bigint"), "_sha")
+    sure = where_in_table(rows, hashed, table, inside=False)
+    # Copies, and rows that repeat a kept one: of those that are kept, one of each stays.
+    kept = groups.where("kept").select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s"))
+    rest = where_in_table(rows, hashed, table)
+    same = rest["doc_id"].eqNullSafe(kept["_d"]) & (rest["_sha"] == kept["_s"])
+    rest = rest.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"])
+    return sure.unionByName(rest).drop("_sha")
