@@ -1,0 +1,3 @@
+"""Schema lineage and analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"
