@@ -144,6 +144,14 @@ def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[place // 32] >> (place % 32).astype(np.uint32)) & 1 > 0
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def where_in_table(df: DataFrame, hashed: Column, table: np.ndarray, inside: bool = True) -> DataFrame:
     """Rows whose ``hashed`` is (or surely is not) a member; all columns."""
     held = df.sparkSession.sparkContext.broadcast(table)
@@ -158,7 +166,7 @@ def where_in_table(df: DataFrame, hashed: Column, table: np.ndarray, inside: boo
 
         return step
 
-    return map_batches(df.select("*", hashed.alias("_h")), make, df.schema)
+    return map_batches(df.select("*", hashed.alias(fresh(df, "_h"))), make, df.schema)
 
 
 def record_batch(**columns: pa.Array) -> pa.RecordBatch:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, bound_batches, map_batches, materialise, record_batch, text_bytes, where_in_table
+from .common import bit_table, bound_batches, fresh, map_batches, materialise, record_batch, text_bytes, where_in_table
 from .components import components
 
 SHINGLE = 5
@@ -343,12 +343,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     doc_id one stays.
     """
     made = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), made))
-    groups = materialise(near_groups(rows.select(F.col("_id").alias("doc_id"), "text")), "groups")
-    gone = groups.where("not kept and component_id is not null").select(F.col("doc_id").alias("_id"))
-    twice = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    node = fresh(docs, "_node")
+    rows = docs.withColumn(node, F.coalesce(F.col("doc_id").cast("bigint"), made))
+    groups = materialise(near_groups(rows.select(F.col(node).alias("doc_id"), "text")), "groups")
+    gone = groups.where("not kept and component_id is not null").select(F.col("doc_id").alias(node))
+    twice = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(node))
     suspect = materialise(gone.unionByName(twice).distinct(), "suspects")
-    table = bit_table(suspect.select(F.xxhash64("_id").alias("h")), "h")
-    sure = where_in_table(rows, F.xxhash64("_id"), table, inside=False)
-    rest = where_in_table(rows, F.xxhash64("_id"), table).join(gone, "_id", "left_anti").dropDuplicates(["_id"])
-    return sure.unionByName(rest).drop("_id")
+    table = bit_table(suspect.select(F.xxhash64(node).alias("h")), "h")
+    sure = where_in_table(rows, F.xxhash64(node), table, inside=False)
+    rest = where_in_table(rows, F.xxhash64(node), table).join(gone, node, "left_anti").dropDuplicates([node])
+    return sure.unionByName(rest).drop(node)

@@ -29,6 +29,8 @@ from .common import bit_table, bound_batches, in_table, map_batches, materialise
 DEPTH = 3
 #: The share of tokens that must agree with a template.
 SIMILARITY = 0.7
+#: The share of tokens that must be fixed in a template to be dropped: fields alone say nothing.
+FIXED = 0.5
 #: Documents in which a template must occur to be dropped.
 MIN_DOCS = 10
 #: Distinct lines of a leaf that one task compares.
@@ -150,6 +152,9 @@ class _Leaf:
         self.templates.append(own)
         return len(self.templates) - 1
 
+    def is_specific(self, k: int) -> bool:
+        return bool((self.templates[k] != 0).mean() >= FIXED)
+
     def text(self, k: int) -> bytes:
         words = list(self.numbers)
         return b" ".join(words[i] for i in self.templates[k].tolist())
@@ -181,7 +186,7 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES
         totals: dict[int, int] = {}
         for _, k, n in held:
             totals[k] = totals.get(k, 0) + n
-        rows = [(line, leaf.text(k), totals[k]) for line, k, _ in held if totals[k] >= min_docs]
+        rows = [(line, leaf.text(k), totals[k]) for line, k, _ in held if totals[k] >= min_docs and leaf.is_specific(k)]
         if rows:
             line, text, n = zip(*rows)
             yield record_batch(
