@@ -1,4 +1,4 @@
-"""Command line: ``python -m lineagrid bundle|check|graph|version|help``."""
+"""Command line: ``python -m lineagrid bundle|check|graph|lsp|version|help``."""
 
 from __future__ import annotations
 
@@ -39,6 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         own.add_argument("-o", default="", help="output file")
         if name == "graph":
             own.add_argument("--format", default="dot", choices=("dot", "mermaid", "json"))
+    commands.add_parser("lsp")
     commands.add_parser("version")
     commands.add_parser("help")
     args = parser.parse_args(argv)
@@ -48,6 +49,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command in (None, "help"):
         parser.print_help()
         return 0 if args.command else 2
+    if args.command == "lsp":
+        from .streaming.server import LanguageServer
+
+        return LanguageServer(local_session(), sys.stdin.buffer, sys.stdout.buffer).serve()
     try:
         folder, dialect, out = _settings(args)
         spark = local_session()

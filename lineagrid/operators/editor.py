@@ -49,7 +49,7 @@ def hover(requests: DataFrame, parsed: DataFrame, files: DataFrame) -> DataFrame
 
 
 def completions(requests: DataFrame, parsed: DataFrame, files: DataFrame) -> DataFrame:
-    """``request, label, kind``: defined names that fit; only tables after REFERENCES and ON."""
+    """``request, label, kind, file``: defined names that fit; only tables after REFERENCES and ON."""
 
     @F.pandas_udf("context string, prefix string")
     def context(content: pd.Series, offset: pd.Series) -> pd.DataFrame:
@@ -58,10 +58,10 @@ def completions(requests: DataFrame, parsed: DataFrame, files: DataFrame) -> Dat
 
     asked = requests.join(files.select("project", "file", "content"), ["project", "file"])
     asked = asked.select("request", "project", context("content", "offset").alias("c")).select("request", "project", "c.*").where("context != 'none'")
-    names = definitions(parsed).where("rank = 1").select("project", F.col("name").alias("label"), "kind")
+    names = definitions(parsed).where("rank = 1").select("project", F.col("name").alias("label"), "kind", "file")
     fits = F.lower("label").startswith(F.lower("prefix"))
-    tables = (F.col("context") == "directive") | F.col("kind").isin("create_table", "alter_table")
-    return asked.join(names, "project").where(fits & tables).select("request", "label", "kind").orderBy("request", "label")
+    tables = (F.col("context") == "directive") | (F.col("kind") == "create_table")
+    return asked.join(names, "project").where(fits & tables).select("request", "label", "kind", "file").orderBy("request", "label")
 
 
 def open_files(opened: DataFrame, found: DataFrame) -> DataFrame:

@@ -221,6 +221,51 @@ def test_messages_are_framed(tmp_path):
         assert read_message(f) == {"a": "ü"} and read_message(f) is None
 
 
+def test_language_server(spark, tmp_path):
+    import io
+
+    from lineagrid.streaming.server import LanguageServer
+
+    (tmp_path / "lineagrid.yaml").write_text("dialect: postgres\n")
+    for name, text in GOLDEN.items():
+        (tmp_path / name).write_text(text)
+    uri = uri_of(str(tmp_path / "orders.sql"))
+    text = "-- 日本\nCREATE TABLE orders (u int REFERENCES users(id), g int REFERENCES ghost(id));\n-- a:require "
+    at = {"textDocument": {"uri": uri}, "position": {"line": 1, "character": 40}}
+    messages = [
+        {"id": 1, "method": "initialize", "params": {}},
+        {"method": "textDocument/didOpen", "params": {"textDocument": {"uri": uri, "text": text}}},
+        {"id": 2, "method": "textDocument/definition", "params": at},
+        {"id": 3, "method": "textDocument/hover", "params": at},
+        {"id": 4, "method": "textDocument/completion", "params": at | {"position": {"line": 2, "character": 13}}},
+        {"id": 5, "method": "own/dependencyGraph", "params": {"uri": uri}},
+        {"id": 6, "method": "nope"},
+        {"id": 7, "method": "textDocument/hover", "params": {}},
+        {"id": 8, "method": "textDocument/definition", "params": {"textDocument": {"uri": "file:///nowhere/x.sql"}, "position": {}}},
+        {"method": "textDocument/didClose", "params": {"textDocument": {"uri": uri}}},
+        {"id": 9, "method": "shutdown"},
+        {"method": "exit"},
+    ]
+    source, sink = io.BytesIO(), io.BytesIO()
+    for m in messages:
+        write_message(source, m)
+    source.seek(0)
+    assert LanguageServer(spark, source, sink).serve() == 0
+    sink.seek(0)
+    out = []
+    while (m := read_message(sink)) is not None:
+        out.append(m)
+    by_id = {m["id"]: m for m in out if "id" in m}
+    told = [m["params"] for m in out if m.get("method") == "textDocument/publishDiagnostics"]
+    assert [len(t["diagnostics"]) for t in told] == [1, 0]
+    assert told[0]["diagnostics"][0]["range"] == {"start": {"line": 1, "character": 66}, "end": {"line": 1, "character": 71}}
+    assert by_id[2]["result"]["uri"].endswith("/users.sql") and by_id[2]["result"]["range"]["start"] == {"line": 1, "character": 13}
+    assert "CREATE TABLE users" in by_id[3]["result"]["contents"]["value"]
+    assert [i["label"] for i in by_id[4]["result"]["items"]] == ["orders", "users", "v"]
+    assert {e["kind"] for e in by_id[5]["result"]["edges"]} == {"fk", "view", "directive"}
+    assert by_id[6]["error"]["code"] == -32601 and by_id[7]["error"]["code"] == -32600 and by_id[8]["result"] is None
+
+
 def test_stream_of_edits(spark, tmp_path):
     from pyspark.sql import functions as F
 
