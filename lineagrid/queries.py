@@ -171,12 +171,44 @@ def s_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.lines(projects.check(from_texts(spark, TREE))).select("line")
 
 
-@_query()
+def _text_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FILES_SQL = "files(file, content) AS (VALUES " + ", ".join(f"('{k}', {_text_sql(v)})" for k, v in TREE.items()) + ")"
+
+
+@_query(
+    f"WITH {_FILES_SQL}, "
+    r"""bare AS (SELECT file, regexp_replace(content, '--[^\n]*', '', 'g') AS code FROM files),
+plain AS (SELECT file, code, regexp_replace(code, '''[^'']*''', ' ', 'g') AS marks FROM bare),
+counts AS (SELECT file, 'string' AS kind, len(regexp_extract_all(code, '''[^'']*''')) AS n FROM plain
+  UNION ALL SELECT file, 'word', len(regexp_extract_all(marks, '[A-Za-z0-9_]+')) FROM plain
+  UNION ALL SELECT file, 'punct', len(regexp_extract_all(marks, '[^A-Za-z0-9_;\s]')) FROM plain)
+SELECT file, kind, n FROM counts WHERE n > 0"""
+)
 def s_tokens_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.tokens(_parsed(spark)).groupBy("file", "kind").agg(F.count("*").alias("n"))
 
 
-@_query()
+_MOVED = "-- fk constraint moved by lineagrid to break a dependency cycle (from {}.sql)\n"
+_CHUNKS = [
+    "\n-- source: a_users.sql\n-- Application users.\nCREATE TABLE users (id serial PRIMARY KEY, best_order int );\n",
+    "\n-- source: c_items.sql\nCREATE TABLE items (id serial PRIMARY KEY, kind item_kind, ghost_id int REFERENCES ghosts(id));\n",
+    "\n-- source: b_orders.sql\nCREATE TABLE orders (id serial PRIMARY KEY, user_id int NOT NULL ,\n"
+    "  item_id int, CONSTRAINT item_fk FOREIGN KEY (item_id) REFERENCES items(id));\n",
+    "\n-- source: a_users.sql\n" + _MOVED.format("a_users") + "ALTER TABLE users ADD FOREIGN KEY (best_order) REFERENCES orders(id);\n",
+    "\n-- source: b_orders.sql\n" + _MOVED.format("b_orders")
+    + "ALTER TABLE orders ADD FOREIGN KEY (user_id) REFERENCES users(id) ON DELETE CASCADE;\n",
+    "\nCREATE INDEX orders_user ON orders (user_id);\n",
+    "\n-- source: c_items.sql\nCREATE TYPE item_kind AS ENUM ('a', 'b;c');\n",
+    "\n-- source: d_views.sql\n-- schema:require item_kind users\n"
+    "CREATE VIEW order_lines AS SELECT o.id, i.kind FROM orders o JOIN items i ON i.id = o.item_id;\n",
+    "\nCREATE VIEW order_lines AS SELECT 1 FROM nowhere;\n",
+]
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {_text_sql(c)})" for k, c in enumerate(_CHUNKS)) + ") t(place, chunk)")
 def s_bundle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.bundle_chunks(repair.repaired(_parsed(spark))).select("place", "chunk")
 
