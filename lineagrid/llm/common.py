@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker. Texts
 #: may be very long, so batches are kept small in rows as well as in bytes.
-BATCH_ROWS = 400
+BATCH_ROWS = 4000
 BATCH_BYTES = 8 << 20
 
 

@@ -9,6 +9,7 @@ the ids. Results equal ``Tokenizer.encode(text, add_special_tokens=False)``.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -187,3 +188,9 @@ class WordEncoder:
         flat = ids[np.repeat(firsts[pieces] - ends[:-1], width) + np.arange(ends[-1])]
         cuts = ends[split.offsets.to_numpy()].tolist()
         return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of a vocabulary in this process: later tasks of a worker find its memo filled."""
+    return WordEncoder(path)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import pfor
 from .common import bound_batches, map_batches, materialise, record_batch, shuffle_partitions, text_bytes
-from .encoding import WordEncoder
+from .encoding import shared_encoder
 
 #: A segment is closed when it holds this many ids; a longer document has one of its own.
 SEGMENT_IDS = 1 << 18
@@ -36,7 +36,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     """
 
     def make():
-        encoder = WordEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, map_batches, materialise_bucketed, record_batch, shuffle_partitions, text_bytes
-from .encoding import WordEncoder, load_tokenizer, separated_words
+from .encoding import load_tokenizer, separated_words, shared_encoder
 
 #: Bytes of text after which a block is closed; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 _SCHEMA = "block bigint, part int, payload binary, detail binary, doc_ids array<bigint>"
 _DOCS = -1  # the ``part`` of a block's row that holds its documents
 
@@ -108,7 +109,7 @@ def encode_words(words: DataFrame, tokenizer_path: str, parts: int) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         size = encoder.dtype.itemsize
         table: dict[bytes, bytes] = {}
         now = None
@@ -145,7 +146,7 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES)
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("payload", "detail")).alias("answers"))
     both = blocks.where(F.col("part") == _DOCS).join(answers, "block", "left")
     both = both.select("payload", "detail", "doc_ids", "answers")
-    dtype = WordEncoder(tokenizer_path, 0).dtype
+    dtype = shared_encoder(tokenizer_path).dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,6 +207,12 @@ class PieceTable:
         return (b" " if self.spaced else b"").join(found).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def shared_pieces(tokenizer_path: str) -> PieceTable:
+    """The piece table of a vocabulary in this process."""
+    return PieceTable(tokenizer_path)
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letters that stand for bytes in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -217,7 +224,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``doc_id, text`` for ``doc_id, ids``, as the library's ``decode(ids, skip_special_tokens=False)``."""
 
     def make():
-        table = PieceTable(tokenizer_path)
+        table = shared_pieces(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [table.decode(np.frombuffer(x, dtype="<u4")) for x in batch.column(1).to_pylist()]
@@ -232,7 +239,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encode and decode: doc_id, n_tokens, ids_sha256, decoded_sha256 (digests of decimal ids and of the text)."""
 
     def make():
-        table = PieceTable(tokenizer_path)
+        table = shared_pieces(tokenizer_path)
         decimal = [str(i).encode() for i in range(table.size)]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
