@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, discard, materialise, shuffle_partitions, where_in_table
+from .common import bit_table, discard, fresh, materialise, where_in_table
 
 #: Bytes of a block.
 BLOCK = 2048
@@ -28,13 +28,12 @@ def normalised(text: Column) -> Column:
 
 
 def name_values(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Number the rows of ``distinct`` in their sort order; written, so that names never change.
+    """Sort and number the rows of ``distinct``; written, so that names never change.
 
-    Names ascend with the keys, and are unique but not gapless: a range
-    partition's number is in the high bits.
+    Rows stay in the partitions that made them distinct: within a partition
+    names ascend with the keys, and its number is in their high bits.
     """
-    n = shuffle_partitions(distinct.sparkSession)
-    ordered = distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ordered = distinct.sortWithinPartitions(*keys)
     return materialise(ordered.withColumn("name", F.monotonically_increasing_id()), "names")
 
 
@@ -114,15 +113,16 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, digest=digest_of) -> DataF
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without later copies: one row of each group of equal texts, all columns."""
     groups = materialise(exact_groups(docs.select("doc_id", "text")), "groups")
-    text_sha = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    copies = groups.where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s")).distinct()
-    table = bit_table(copies.select(F.xxhash64("_d", "_s").alias("h")), "h")
-    rows = docs.withColumn("_sha", text_sha)
-    hashed = F.xxhash64(F.col("doc_id").cast("bigint"), "_sha")
+    sha = fresh(docs, "_sha")
+    copies = groups.where("not kept").select("doc_id", "text_sha256").distinct()
+    table = bit_table(copies.select(F.xxhash64("doc_id", "text_sha256").alias("h")), "h")
+    rows = docs.withColumn(sha, F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    hashed = F.xxhash64(F.col("doc_id").cast("bigint"), sha)
     sure = where_in_table(rows, hashed, table, inside=False)
     # Copies, and rows that repeat a kept one: of those that are kept, one of each stays.
-    kept = groups.where("kept").select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s"))
-    rest = where_in_table(rows, hashed, table)
-    same = rest["doc_id"].eqNullSafe(kept["_d"]) & (rest["_sha"] == kept["_s"])
-    rest = rest.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return sure.unionByName(rest).drop("_sha")
+    kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    rest = where_in_table(rows, hashed, table).alias("rest")
+    kept = kept.alias("kept")
+    same = F.col("rest.doc_id").eqNullSafe(F.col("kept._kept_id")) & (F.col(f"rest.{sha}") == F.col("kept._kept_sha"))
+    rest = rest.join(kept, same, "left_semi").dropDuplicates(["doc_id", sha])
+    return sure.unionByName(rest).drop(sha)
