@@ -9,6 +9,7 @@ the ids. Results equal ``Tokenizer.encode(text, add_special_tokens=False)``.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,11 +18,8 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Entries of a worker's memo, and the longest piece (bytes) that is kept.
-MEMO_ENTRIES = 900_000
+MEMO_ENTRIES = 1_000_000
 MEMO_PIECE = 48
-#: Pieces that one call of the library encodes.
-JOINED_PIECES = 2000
-
 #: Word vocabularies drop white space, so any ASCII white space separates.
 WORD = "word"
 #: Byte-level vocabularies keep a space with what follows it.
@@ -33,10 +31,20 @@ _PROSE = bytes([*b" \n.,", *range(48, 58), *range(65, 91), *range(97, 123), 0xC3
 _RUNS = (b"..", b".,", b",.", b",,", b"\xc3\x97", b"\xc3\xb7")
 # Where a cut before a space is not safe: before white space, or what may start it, or at the end.
 _UNSAFE = tuple(b" " + bytes([x]) for x in (*b" \t\n\r\v\f", 0xC2, 0xE1, 0xE2, 0xE3))
+# Line breaks that belong to longer white space.
+_AFTER_BREAK = (*b" \t\n\r\v\f", 0xC2, 0xE1, 0xE2, 0xE3)
+_BEFORE_BREAK = (*b"\t\r\v\f", 0x80, 0x85, 0xA0)
+_LONG_BREAKS = (*(b"\n" + bytes([x]) for x in _AFTER_BREAK), *(bytes([x]) + b"\n" for x in _BEFORE_BREAK))
 _SAFE_CUT = re.compile(rb"(?= [^\s\xc2\xe1-\xe3])")
 # Prefixes of pieces in byte vocabularies; other pieces follow a space.
 _MARK, _FIRST = b"\x01", b"\x02"
-_OWN = {_MARK, _FIRST, b""}
+
+
+def byte_letters() -> dict[str, int]:
+    """The printable letters that stand for bytes in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 def load_tokenizer(path: str) -> Tokenizer:
@@ -78,7 +86,12 @@ def separated_spaced(text: bytes) -> bytes | None:
     """
     if text[-1:] == b" " or text[:1] == b" " or any(x in text for x in _UNSAFE):
         return None
-    if is_prose(text):
+    prose = is_prose(text)
+    if b"\n" in text and not any(x in text for x in _LONG_BREAKS):  # a single line break is a token of its own
+        if prose:
+            text = text.replace(b".\n", b" \x01.\n")
+        text = text.replace(b"\n", b" \x01\n \x02")
+    if prose:
         text = text.replace(b". ", b" \x01. ").replace(b", ", b" \x01, ")
     return _FIRST + text
 
@@ -92,12 +105,11 @@ class WordEncoder:
         self.family = tokenizer_family(self.tokenizer)
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, [*added, _MARK, _FIRST])))
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.memo_entries = memo_entries
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        for token, i in vocabulary.items():
-            self.edge[i] = token.endswith("</w>") if self.family == WORD else token.startswith("\u0120")
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     def encode_text(self, text: bytes) -> bytes:
         found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
@@ -109,32 +121,26 @@ class WordEncoder:
         return piece[1:] if piece[:1] in (_MARK, _FIRST) else b" " + piece if piece else b""
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of each piece; each piece goes through the library once.
+        """Packed ids of each piece.
 
-        Plain pieces are laid out behind one another in longer strings, since a
-        call for each costs several times as much. Tokens that open (byte
-        vocabularies) or close (word vocabularies) a piece tell the ids apart;
-        where their number is not that of the pieces, all go one by one.
+        A piece of letters only is one unit of the vocabulary's splitter and
+        goes to the library's merge model as it is; any other goes through the
+        whole library.
         """
-        out: dict[bytes, bytes] = {}
-        size = self.dtype.itemsize
-        plain = [p for p in pieces if len(p) <= MEMO_PIECE and p[:1] not in _OWN]
-        if self.family == WORD:
-            plain = [p for p in plain if p.decode("utf-8", "replace").isalpha()]
-        for at in range(0, len(plain), JOINED_PIECES):
-            group = plain[at : at + JOINED_PIECES]
-            text = b" " + b" ".join(group)
-            found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
-            ids = np.array(found.ids, dtype=self.dtype)
-            edges = np.flatnonzero(self.edge[ids])
-            if len(edges) == len(group):
-                cuts = (edges + 1 if self.family == WORD else np.append(edges[1:], len(ids))) * size
-                ends, packed = cuts.tolist(), ids.tobytes()
-                out.update(zip(group, map(packed.__getitem__, map(slice, [0, *ends], ends))))
+        tokenize, letters, spaced = self.tokenizer.model.tokenize, self.letters, self.family == BYTE
+        out = []
         for piece in pieces:
-            if piece not in out:
-                out[piece] = self.encode_text(self.piece_text(piece))
-        return [out[p] for p in pieces]
+            text, space = piece.decode("utf-8", "replace"), " " if spaced else ""
+            if spaced and piece[:1] == _FIRST:
+                text, space = text[1:], ""
+            if len(piece) <= MEMO_PIECE and text.isalpha() and (text.isascii() or max(text) <= "\xff"):
+                # Word vocabularies fold case; Latin-1 letters are composed already.
+                unit = space + text if spaced else text.lower()
+                unit = unit.encode().decode("latin-1").translate(letters)
+                out.append(array(self.code, [t.id for t in tokenize(unit)]).tobytes())
+            else:
+                out.append(self.encode_text(self.piece_text(piece)))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids (``self.dtype``) of each text."""
@@ -160,18 +166,24 @@ class WordEncoder:
         return out
 
     def look_up(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of pieces, from the memo or newly encoded."""
-        memo = self.memo
-        if len(memo) > self.memo_entries:
-            memo.clear()
+        """Ids of pieces, from the memo or newly encoded.
+
+        The memo has two halves: when the younger is full it becomes the older,
+        whose pieces move back as they are used.
+        """
+        if len(self.memo) > self.memo_entries // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
         found = list(map(memo.get, pieces))
         at = [i for i, ids in enumerate(found) if ids is None]
         if at:
-            new = [pieces[i] for i in at]
-            for i, piece, ids in zip(at, new, self.encode_pieces(new)):
-                found[i] = ids
-                if len(piece) <= MEMO_PIECE:
-                    memo[piece] = ids
+            held = [older.get(pieces[i]) for i in at]
+            new = [pieces[i] for i, ids in zip(at, held) if ids is None]
+            made = iter(self.encode_pieces(new))
+            for i, ids in zip(at, held):
+                found[i] = ids = next(made) if ids is None else ids
+                if len(pieces[i]) <= MEMO_PIECE:
+                    memo[pieces[i]] = ids
         return found
 
     def _encode_separated(self, texts: list[bytes]) -> list[bytes]:

@@ -28,9 +28,16 @@ MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIII")
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    """Bit lengths of unsigned 32-bit values."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+def _widths(deltas: np.ndarray, fit: float) -> np.ndarray:
+    """For each block, the least width that holds the share ``fit`` of its values."""
+    need = int(np.ceil(deltas.shape[1] * fit))
+    width = np.full(len(deltas), int(deltas.max(initial=0)).bit_length(), dtype=np.uint8)
+    open_ = np.arange(len(deltas))
+    while len(open_) and width[open_[0]] > 0:
+        less = width[open_[0]] - 1
+        open_ = open_[(deltas[open_] < np.uint32(1 << int(less))).sum(axis=1) >= need]
+        width[open_] = less
+    return width
 
 
 def pack(ids: np.ndarray, fit: float = FIT) -> bytes:
@@ -44,11 +51,10 @@ def pack(ids: np.ndarray, fit: float = FIT) -> bytes:
     rows = full.reshape(blocks, BLOCK)
     low = rows.min(axis=1, initial=0xFFFFFFFF) if blocks else np.zeros(0, np.uint32)
     deltas = rows - low[:, None]
-    rank = min(BLOCK - 1, int(np.ceil(BLOCK * fit)) - 1)
-    width = _bits(np.partition(deltas, rank, axis=1)[:, rank]) if blocks else np.zeros(0, np.uint8)
-    above = deltas.astype(np.uint64) >> width[:, None].astype(np.uint64)
-    at_block, at = np.nonzero(above)
-    rest = above[at_block, at].astype(np.uint32)
+    width = _widths(deltas, fit) if blocks else np.zeros(0, np.uint8)
+    most = ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    at_block, at = np.nonzero(deltas > most[:, None])
+    rest = deltas[at_block, at] >> width[at_block].astype(np.uint32)
     outlier_start = np.concatenate(([0], np.cumsum(np.bincount(at_block, minlength=blocks)))).astype(np.uint32)
     lanes = BLOCK // _LANE
     start = np.concatenate(([0], np.cumsum(width.astype(np.int64) * lanes)))

@@ -89,8 +89,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = token_output.encode_documents(read_table(spark, sf_dir, "documents"), path, end_id=0)
-    return token_output.token_index(token_output.write_segments(encoded))
+    segments = token_output.write_segments(read_table(spark, sf_dir, "documents"), path, end_id=0)
+    return token_output.token_index(segments)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,43 +48,48 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), text_bytes()), make, "doc_id bigint, ids binary")
 
 
-def write_segments(encoded: DataFrame, id_bytes: int = 2, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """Write ``doc_id, ids`` as segments in ascending doc_id order (nulls first, ties by ids).
+def _segment(part: int, number: int, docs: list[int | None], held: list[np.ndarray]) -> pa.RecordBatch:
+    return record_batch(
+        part=pa.array([part], type=pa.int32()),
+        segment=pa.array([number], type=pa.int32()),
+        doc_ids=pa.array([docs], type=pa.list_(pa.int64())),
+        doc_tokens=pa.array([[len(x) for x in held]], type=pa.list_(pa.int64())),
+        payload=pa.array([pfor.pack(np.concatenate(held).astype(np.uint32))], type=pa.binary()),
+    )
+
+
+def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+    """Encode every text and write segments in ascending doc_id order (nulls first, ties by text).
 
-    One shuffle deals ids into ranges of doc_id; each task streams its sorted
-    range and holds one open segment at a time. Returns the written table.
+    A null text is empty, ``end_id`` closes each document, repeated rows stay.
+    One shuffle deals texts into ranges of doc_id, before they are encoded: the
+    ranges are found by sampling, which would encode a part twice. Each task
+    streams its sorted range and holds one open segment at a time. Returns the
+    written table.
     """
-    spark = encoded.sparkSession
+    spark = docs.sparkSession
     bound_batches(spark)
-    dealt = encoded.repartitionByRange(shuffle_partitions(spark), F.col("doc_id"), F.xxhash64("ids"))
-    ordered = dealt.sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
-    dtype = "<u2" if id_bytes == 2 else "<u4"
-
-    def close(part: int, number: int, docs: list[int | None], held: list[np.ndarray]) -> pa.RecordBatch:
-        return record_batch(
-            part=pa.array([part], type=pa.int32()),
-            segment=pa.array([number], type=pa.int32()),
-            doc_ids=pa.array([docs], type=pa.list_(pa.int64())),
-            doc_tokens=pa.array([[len(x) for x in held]], type=pa.list_(pa.int64())),
-            payload=pa.array([pfor.pack(np.concatenate(held).astype(np.uint32))], type=pa.binary()),
-        )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared_encoder(tokenizer_path)
+        end = np.array([end_id], dtype=encoder.dtype)
         part = TaskContext.get().partitionId()
-        number, size, docs, held = 0, 0, [], []
+        number, size, ids_of, held = 0, 0, [], []
         for batch in batches:
-            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(packed, dtype=dtype)
-                if docs and size + len(ids) > segment_ids:
-                    yield close(part, number, docs, held)
-                    number, size, docs, held = number + 1, 0, [], []
-                docs.append(doc_id)
+            for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+                ids = np.append(np.frombuffer(packed, dtype=encoder.dtype), end)
+                if held and size + len(ids) > segment_ids:
+                    yield _segment(part, number, ids_of, held)
+                    number, size, ids_of, held = number + 1, 0, [], []
+                ids_of.append(doc_id)
                 held.append(ids)
                 size += len(ids)
-        if docs:
-            yield close(part, number, docs, held)
+        if held:
+            yield _segment(part, number, ids_of, held)
 
-    return materialise(ordered.mapInArrow(run, SEGMENT_SCHEMA), "segments")
+    return materialise(dealt.mapInArrow(run, SEGMENT_SCHEMA), "segments")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -131,14 +136,20 @@ def token_index(segments: DataFrame) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            keep = {k: batch.column(batch.schema.get_field_index(k)) for k in ("part", "segment", "doc_id", "before")}
-            n = pa.array([len(x) // 4 for x in ids], type=pa.int64())
-            return record_batch(**keep, n_tokens=n, ids_crc32=pa.array([zlib.crc32(x) for x in ids], type=pa.int64()))
+            out: dict[str, list] = {k: [] for k in ("part", "segment", "doc_id", "before", "n_tokens", "ids_crc32")}
+            for part, number, docs, counts, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = pfor.Segment(payload).read().astype("<u4")
+                at = 0
+                for doc_id, count in zip(docs, counts):
+                    for k, v in zip(out, (part, number, doc_id, at, count, zlib.crc32(ids[at : at + count]))):
+                        out[k].append(v)
+                    at += count
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            return record_batch(**{k: pa.array(v, type=t) for (k, v), t in zip(out.items(), kinds)})
 
         return step
 
     schema = "part int, segment int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
-    rows = map_batches(read_documents(segments), make, schema)
+    rows = map_batches(segments, make, schema)
     found = rows.join(segment_starts(segments), ["part", "segment"])
     return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

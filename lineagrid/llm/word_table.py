@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, map_batches, materialise_bucketed, record_batch, shuffle_partitions, text_bytes
-from .encoding import load_tokenizer, separated_words, shared_encoder
+from .encoding import byte_letters, load_tokenizer, separated_words, shared_encoder
 
 #: Bytes of text after which a block is closed; a longer document is a block of its own.
 BLOCK_BYTES = 10 << 20
@@ -196,7 +196,7 @@ class PieceTable:
         added = set(tokenizer.get_added_tokens_decoder())
         pieces = [b""] * self.size
         self.spaced = tokenizer.decoder is None
-        plain = _byte_letters()
+        plain = byte_letters()
         for piece, i in vocabulary.items():
             as_bytes = not self.spaced and i not in added
             pieces[i] = bytes(plain[c] for c in piece) if as_bytes else piece.encode()
@@ -213,13 +213,6 @@ def shared_pieces(tokenizer_path: str) -> PieceTable:
     return PieceTable(tokenizer_path)
 
 
-def _byte_letters() -> dict[str, int]:
-    """The printable letters that stand for bytes in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``doc_id, text`` for ``doc_id, ids``, as the library's ``decode(ids, skip_special_tokens=False)``."""
 
