@@ -29,6 +29,7 @@ from .common import bound_batches, map_batches, materialise_bucketed, record_bat
 from .encoding import byte_letters, load_tokenizer, separated_words, shared_encoder
 
 #: Bytes of text after which a block is closed; a longer document is a block of its own.
+#: Larger blocks repeat fewer words but hold more of a worker's memory.
 BLOCK_BYTES = 10 << 20
 _SCHEMA = "block bigint, part int, payload binary, detail binary, doc_ids array<bigint>"
 _DOCS = -1  # the ``part`` of a block's row that holds its documents
