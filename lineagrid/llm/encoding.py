@@ -35,6 +35,7 @@ _UNSAFE = tuple(b" " + bytes([x]) for x in (*b" \t\n\r\v\f", 0xC2, 0xE1, 0xE2, 0
 _AFTER_BREAK = (*b" \t\n\r\v\f", 0xC2, 0xE1, 0xE2, 0xE3)
 _BEFORE_BREAK = (*b"\t\r\v\f", 0x80, 0x85, 0xA0)
 _LONG_BREAKS = (*(b"\n" + bytes([x]) for x in _AFTER_BREAK), *(bytes([x]) + b"\n" for x in _BEFORE_BREAK))
+_PROSE_UNSAFE, _PROSE_BREAKS = (b"  ", b" \n"), (b"\n\n", b"\n ")
 _SAFE_CUT = re.compile(rb"(?= [^\s\xc2\xe1-\xe3])")
 # Prefixes of pieces in byte vocabularies; other pieces follow a space.
 _MARK, _FIRST = b"\x01", b"\x02"
@@ -84,13 +85,13 @@ def separated_spaced(text: bytes) -> bytes | None:
     A piece stands for itself after a space; ``_FIRST`` and ``_MARK`` prefix
     pieces that no space precedes.
     """
-    if text[-1:] == b" " or text[:1] == b" " or any(x in text for x in _UNSAFE):
+    prose = is_prose(text)  # then space and newline are all its white space
+    if text[-1:] == b" " or text[:1] == b" " or any(x in text for x in (_PROSE_UNSAFE if prose else _UNSAFE)):
         return None
-    prose = is_prose(text)
-    if b"\n" in text and not any(x in text for x in _LONG_BREAKS):  # a single line break is a token of its own
+    if b"\n" in text and not any(x in text for x in (_PROSE_BREAKS if prose else _LONG_BREAKS)):
         if prose:
             text = text.replace(b".\n", b" \x01.\n")
-        text = text.replace(b"\n", b" \x01\n \x02")
+        text = text.replace(b"\n", b" \x01\n \x02")  # a single line break is a token of its own
     if prose:
         text = text.replace(b". ", b" \x01. ").replace(b", ", b" \x01, ")
     return _FIRST + text

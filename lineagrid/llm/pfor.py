@@ -31,12 +31,13 @@ _HEAD = struct.Struct("<4sIII")
 def _widths(deltas: np.ndarray, fit: float) -> np.ndarray:
     """For each block, the least width that holds the share ``fit`` of its values."""
     need = int(np.ceil(deltas.shape[1] * fit))
-    width = np.full(len(deltas), int(deltas.max(initial=0)).bit_length(), dtype=np.uint8)
-    open_ = np.arange(len(deltas))
-    while len(open_) and width[open_[0]] > 0:
-        less = width[open_[0]] - 1
-        open_ = open_[(deltas[open_] < np.uint32(1 << int(less))).sum(axis=1) >= need]
-        width[open_] = less
+    top = int(deltas.max(initial=0)).bit_length()
+    width = np.full(len(deltas), top, dtype=np.uint8)
+    for less in range(top - 1, -1, -1):
+        fits = np.count_nonzero(deltas < np.uint32(1 << less), axis=1) >= need
+        if not fits.any():
+            break
+        width[fits] = less
     return width
 
 
