@@ -8,8 +8,9 @@ all of them.
 
 Only leaves that reach ``min_docs`` documents can hold such a template. They
 are found from counts by leaf; a bit table of fixed size lets only their lines
-travel. A leaf with very many distinct lines is split by further tokens until
-its parts are small, so no task gathers an unbounded group.
+travel. A leaf with very many distinct lines is dealt into parts by line hash;
+the templates of its parts are then merged by the same rule of similarity, so
+lines need not share a part to share a template.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, bound_batches, in_table, map_batches, materialise, record_batch, text_bytes
+from .common import BATCH_ROWS, bit_table, bound_batches, in_table, map_batches, materialise, record_batch, text_bytes
 
 #: Leading tokens that lead to a leaf, after the number of tokens.
 DEPTH = 3
@@ -116,52 +117,131 @@ def _candidate_lines(docs: DataFrame, table) -> DataFrame:
 
 
 def _split_leaves(lines: DataFrame, limit: int) -> DataFrame:
-    """Add ``part``: leaves with over ``limit`` distinct lines are split by further tokens, as deep as they need.
-
-    The split depth follows from the leaf's size: each token more is taken to
-    part a leaf at least fourfold; parts are bounded by the longest line.
-    """
+    """Add ``part, parts``: leaves with over ``limit`` distinct lines are dealt by line hash into parts of about that size."""
     size = F.count("*").over(Window.partitionBy("leaf"))
-    more = F.ceil(F.log(4.0, size / F.lit(float(limit)))).cast("int")
-    more = F.when(size > limit, F.greatest(F.lit(1), more)).otherwise(F.lit(0))
-    lines = lines.withColumn("more", more)
-    tokens = F.slice(F.split(F.col("text").cast("string"), " "), DEPTH + 1, F.greatest(F.lit(1), F.col("more") * 2))
-    part = F.when(F.col("more") > 0, F.xxhash64(tokens)).otherwise(F.lit(0))
-    return lines.withColumn("part", part).drop("more")
+    lines = lines.withColumn("parts", F.ceil(size / F.lit(float(limit))).cast("bigint"))
+    return lines.withColumn("part", F.expr("pmod(line, parts)"))
 
 
 class _Leaf:
     """Templates of one leaf, grown from its lines in a fixed order."""
 
     def __init__(self):
-        self.templates: list[np.ndarray] = []
+        self.held = np.zeros((0, 0), dtype=np.int32)
+        self.size = 0
         self.numbers: dict[bytes, int] = {FIELD: 0}
 
-    def add(self, text: bytes) -> int:
+    def add(self, text: bytes, general: bool = False) -> int:
+        """The template that ``text`` joins or begins; the fields of a ``general`` text, a template of several lines, fit all."""
         tokens = text.split(b" ")
         own = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens], dtype=np.int32)
-        if self.templates:
-            held = np.stack(self.templates) if len(self.templates) > 1 else self.templates[0][None]
-            agree = ((held == own) & (held != 0)).mean(axis=1)
-            fits = agree + (held == 0).mean(axis=1)
+        held = self.held[: self.size]
+        if self.size:
+            free = held == 0
+            agree = ((held == own) & ~free).mean(axis=1)
+            fits = agree + (free | (own == 0) if general else free).mean(axis=1)
             agree = np.where(fits >= SIMILARITY, agree, 0.0)
             best = int(agree.argmax())
             if agree[best] >= SIMILARITY / 2:
-                self.templates[best] = np.where(held[best] == own, held[best], 0).astype(np.int32)
+                held[best] = np.where(held[best] == own, held[best], 0)
                 return best
-        self.templates.append(own)
-        return len(self.templates) - 1
+        if self.size == len(self.held):
+            grown = np.zeros((max(16, 2 * self.size), len(own)), dtype=np.int32)
+            if self.size:
+                grown[: self.size] = held
+            self.held = grown
+        self.held[self.size] = own
+        self.size += 1
+        return self.size - 1
 
     def is_specific(self, k: int) -> bool:
-        return bool((self.templates[k] != 0).mean() >= FIXED)
+        return bool((self.held[k] != 0).mean() >= FIXED)
 
-    def text(self, k: int) -> bytes:
+    def texts(self) -> list[bytes]:
         words = list(self.numbers)
-        return b" ".join(words[i] for i in self.templates[k].tolist())
+        return [b" ".join(words[i] for i in row) for row in self.held[: self.size].tolist()]
+
+
+def _grown(rows: DataFrame, keys: list[str], finish, schema: str) -> DataFrame:
+    """``finish(key, leaf, held)`` of each group of ``keys``, whose rows come in order as ``*keys, text, general, ...``.
+
+    ``held`` lists the number of each row's template with the row after ``general``.
+    """
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leaf, held = None, _Leaf(), []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != now:
+                    if held:
+                        yield from finish(now, leaf, held)
+                    now, leaf, held = row[:n], _Leaf(), []
+                held.append((leaf.add(row[n], row[n + 1]), *row[n + 2 :]))
+        if held:
+            yield from finish(now, leaf, held)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _sums(held: list[tuple], at: int) -> dict[int, int]:
+    totals: dict[int, int] = {}
+    for row in held:
+        totals[row[0]] = totals.get(row[0], 0) + row[at]
+    return totals
+
+
+def _in_parts(lines: DataFrame, min_docs: int) -> DataFrame:
+    """``leaf, part, parts, line, k, template, docs, specific``: the template of each line in its part, written once.
+
+    Lines of templates that cannot reach ``min_docs`` are left out where the part is the whole leaf.
+    """
+    rows = lines.withColumn("general", F.lit(False)).repartition("leaf", "part")
+    rows = rows.sortWithinPartitions("leaf", "part", F.desc("docs"), "text")
+    rows = rows.select("leaf", "part", "parts", "text", "general", "line", "docs")
+
+    def finish(key: tuple, leaf: _Leaf, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        totals, texts = _sums(held, 2), leaf.texts()
+        whole = key[2] == 1
+        out = [
+            (*key, line, k, texts[k], totals[k] if whole else n, leaf.is_specific(k))
+            for k, line, n in held
+            if not whole or totals[k] >= min_docs
+        ]
+        for at in range(0, len(out), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out[at : at + BATCH_ROWS]), types)], names=names)
+
+    names = ["leaf", "part", "parts", "line", "k", "template", "docs", "specific"]
+    types = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.bool_()]
+    schema = "leaf bigint, part bigint, parts bigint, line bigint, k bigint, template binary, docs bigint, specific boolean"
+    return materialise(_grown(rows, ["leaf", "part", "parts"], finish, schema), "parts")
+
+
+def _merged(parts: DataFrame, min_docs: int) -> DataFrame:
+    """``leaf, part, k, merged, template, docs, specific``: templates of the parts of a leaf as one, from ``min_docs`` on.
+
+    Those of several lines come first, so that single lines meet them by the rule for lines.
+    """
+    found = parts.groupBy("leaf", "part", "k").agg(
+        F.min("template").alias("template"), F.sum("docs").alias("docs"), (F.count("*") > 1).alias("general")
+    )
+    rows = found.repartition("leaf").sortWithinPartitions("leaf", F.desc("general"), F.desc("docs"), "template", "part", "k")
+    rows = rows.select("leaf", F.col("template").alias("text"), "general", "part", "k", "docs")
+
+    def finish(key: tuple, leaf: _Leaf, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        totals, texts = _sums(held, 3), leaf.texts()
+        out = [(*key, part, k, m, texts[m], totals[m], leaf.is_specific(m)) for m, part, k, _ in held if totals[m] >= min_docs]
+        for at in range(0, len(out), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out[at : at + BATCH_ROWS]), types)], names=names)
+
+    names = ["leaf", "part", "k", "merged", "template", "docs", "specific"]
+    types = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.bool_()]
+    schema = "leaf bigint, part bigint, k bigint, merged bigint, template binary, docs bigint, specific boolean"
+    return _grown(rows, ["leaf"], finish, schema)
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES) -> DataFrame:
-    """``line, template, docs``: distinct masked lines of recurring templates; written once.
+    """``line, leaf, k, template, docs``: distinct masked lines of recurring templates, ``k`` in ``leaf``; written once.
 
     ``docs`` sums, over a template's lines, the documents that hold each.
     """
@@ -169,32 +249,12 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES
     bound_batches(spark)
     leaves = leaf_documents(docs).where(F.col("docs") >= min_docs)
     table = spark.sparkContext.broadcast(bit_table(leaves, "leaf"))
-    lines = _split_leaves(_candidate_lines(docs, table), limit)
-    lines = lines.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("docs"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaf, held = None, _Leaf(), []
-        for batch in batches:
-            for own_leaf, part, line, text, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (own_leaf, part) != now:
-                    yield from close(leaf, held)
-                    now, leaf, held = (own_leaf, part), _Leaf(), []
-                held.append((line, leaf.add(text), n))
-        yield from close(leaf, held)
-
-    def close(leaf: _Leaf, held: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, int] = {}
-        for _, k, n in held:
-            totals[k] = totals.get(k, 0) + n
-        rows = [(line, leaf.text(k), totals[k]) for line, k, _ in held if totals[k] >= min_docs and leaf.is_specific(k)]
-        if rows:
-            line, text, n = zip(*rows)
-            yield record_batch(
-                line=pa.array(line, type=pa.int64()), template=pa.array(text, type=pa.binary()), docs=pa.array(n, type=pa.int64())
-            )
-
-    rows = lines.select("leaf", "part", "line", "text", "docs").mapInArrow(run, "line bigint, template binary, docs bigint")
-    return materialise(rows, "templates")
+    parts = _in_parts(_split_leaves(_candidate_lines(docs, table), limit), min_docs)
+    split = parts.where("parts > 1")
+    merged = split.select("leaf", "part", "k", "line").join(_merged(split, min_docs), ["leaf", "part", "k"])
+    columns = ["line", "leaf", "k", "template", "docs"]
+    rows = merged.drop("k").withColumnRenamed("merged", "k").where("specific").select(columns)
+    return materialise(parts.where("parts = 1 and specific").select(columns).unionByName(rows), "templates")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES) -> DataFrame:

@@ -454,6 +454,16 @@ def test_hot_leaves_are_split(spark):
     assert {r["n_dropped"] for r in found if r["doc_id"] >= 100} == {1}
 
 
+@pytest.mark.parametrize("limit", [log_templates.LEAF_LINES, 50, 7])
+def test_parts_of_a_leaf_are_merged(spark, limit):
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    rows = [(3 * k + i, f"own{k}x{i}\nPosted by user {letters(k)} in the general forum today") for k in range(200) for i in range(3)]
+    rows += [(1000 + k, f"Posted by user {'abcdefghi'[k]} {' '.join(letters(k * 7 + j) for j in range(5))}") for k in range(9)]
+    found = log_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=limit).collect()
+    assert {r["n_dropped"] for r in found if r["doc_id"] < 1000} == {1}
+    assert {r["n_dropped"] for r in found if r["doc_id"] >= 1000} == {0}
+
+
 # 9 token output
 
 
