@@ -241,9 +241,10 @@ def _merged(parts: DataFrame, min_docs: int) -> DataFrame:
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES) -> DataFrame:
-    """``line, leaf, k, template, docs``: distinct masked lines of recurring templates, ``k`` in ``leaf``; written once.
+    """``line, leaf, k, template, docs``: distinct masked lines of templates that may recur, ``k`` in ``leaf``; written once.
 
-    ``docs`` sums, over a template's lines, the documents that hold each.
+    ``docs`` sums, over a template's lines, the documents that hold each: no
+    fewer than the documents of the template.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -257,6 +258,13 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES
     return materialise(parts.where("parts = 1 and specific").select(columns).unionByName(rows), "templates")
 
 
+def _recurring(each: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
+    """``line`` of the templates in ``found`` that occur in ``min_docs`` different rows of ``each(row, line)``; written once."""
+    own = each.join(found.select("line", "leaf", "k"), "line").select("leaf", "k", "row").distinct()
+    sure = own.groupBy("leaf", "k").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs)
+    return materialise(found.join(sure, ["leaf", "k"], "left_semi").select("line").distinct(), "recurring")
+
+
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES) -> DataFrame:
     """Per row of ``docs``: doc_id, text without lines of recurring templates, n_lines, n_dropped.
 
@@ -297,7 +305,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int =
     plain = marked.where(F.size("likely") == 0).withColumn("drop", F.array().cast("array<bigint>"))
     likely = materialise(marked.where(F.size("likely") > 0), "marked")
     each = likely.select("row", F.explode("likely").alias("line"))
-    sure = each.join(found.select("line").distinct(), "line", "left_semi").groupBy("row").agg(F.collect_set("line").alias("drop"))
+    sure = each.join(_recurring(each, found, min_docs), "line", "left_semi").groupBy("row").agg(F.collect_set("line").alias("drop"))
     likely = likely.join(sure, "row", "left")
     columns = ["doc_id", "text", "n_lines", "drop"]
     both = likely.select(columns).unionByName(plain.select(columns))

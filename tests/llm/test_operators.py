@@ -464,6 +464,15 @@ def test_parts_of_a_leaf_are_merged(spark, limit):
     assert {r["n_dropped"] for r in found if r["doc_id"] >= 1000} == {0}
 
 
+def test_templates_count_documents_not_lines(spark):
+    verse = "\n".join(f"the song of {w} is long and sad" for w in "rain snow wind fire dust salt iron gold moss clay reed".split())
+    rows = [(0, verse)]
+    rows += [(k, " ".join(["the song of", *(f"{chr(97 + k)}{c}" for c in "abcde")])) for k in range(1, 13)]  # the same leaf
+    rows += [(k, f"the tale of {chr(97 + k)} is short and glad") for k in range(20, 30)]
+    found = log_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in found} == {k: int(k >= 20) for k, _ in rows}
+
+
 # 9 token output
 
 
