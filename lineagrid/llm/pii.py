@@ -4,7 +4,8 @@ Base spans follow fixed patterns and checks. The tagger is trained on windows
 around labelled spans: base spans in a bounded sample of the corpus, and made
 ones in other ways of writing (phones without a plus, e-mail with a written
 at-sign), among look-alikes that are no personal data. A span of any kind
-holds a digit or an at-sign, so only windows with one are decoded; overlapping
+holds a digit or an at-sign, be it ``@``, ``[at]`` or ``(at)``, so only windows
+that reach one, or the rest of its address, are decoded; overlapping
 windows are reconciled by letting each character take its tag from the window
 that sees it most centrally.
 """
@@ -29,8 +30,11 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_HINT = re.compile(r"[0-9@]")
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_AT = re.compile(r"@|\[at\]|\(at\)")
+#: Any of which every span holds.
+_HINT = r"[0-9]|" + _AT.pattern
+_BESIDE_AT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_EMAIL_CHARS = _BESIDE_AT | {"@"}
 
 #: Code points of a window and between the starts of windows.
 WINDOW, STRIDE = 64, 32
@@ -82,13 +86,22 @@ def spans_text(spans: list[Span]) -> str:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows, on a fixed grid, that hold a digit or an at-sign."""
+    """Starts of the windows, on a fixed grid, that hold a digit or part of what stands around an at-sign."""
     grid: set[int] = set()
-    for m in _HINT.finditer(text):
+    for m in _DIGIT.finditer(text):
         k = m.start() // STRIDE
         grid.add(k)
         if k:
             grid.add(k - 1)  # the window before reaches over this one
+    for m in _AT.finditer(text):
+        a, b = m.span()
+        a -= text[a - 1 : a] == " "
+        while a and text[a - 1] in _BESIDE_AT:
+            a -= 1
+        b += text[b : b + 1] == " "
+        while b < len(text) and text[b] in _BESIDE_AT:
+            b += 1
+        grid.update(range(max(0, a // STRIDE - 1), (b - 1) // STRIDE + 1))
     return [k * STRIDE for k in sorted(grid)]
 
 
@@ -112,7 +125,8 @@ def _made_windows(n: int, seed: int) -> tuple[list[str], list[list[Span]]]:
         style = rng.random()
         if kind == 0:
             at = "@" if style < 0.7 else (" [at] " if style < 0.85 else "(at)")
-            return f"{word()}{'.' + digits(2) if rng.random() < 0.5 else ''}{at}{word()}{digits(1)}.{word()}.com"
+            host = word() + (digits(1) if rng.random() < 0.5 else "") + ("." + word() if rng.random() < 0.5 else "")
+            return f"{word()}{'.' + digits(2) if rng.random() < 0.5 else ''}{at}{host}.{('com', 'org', 'net')[int(rng.integers(0, 3))]}"
         if kind == 1:
             return ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
         if kind == 2:
@@ -255,7 +269,7 @@ def train(docs: DataFrame, windows: int = SAMPLE_WINDOWS, made: int = MADE_WINDO
 
         return step
 
-    hinted = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    hinted = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(_HINT))
     found = map_batches(hinted, make, "text string, tags binary, rank bigint").dropDuplicates(["rank"])
     rows = found.orderBy("rank", "text").limit(windows).collect()
     texts, spans = _made_windows(made, seed=5)
