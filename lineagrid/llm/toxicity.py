@@ -25,8 +25,8 @@ from .label_model import fit_linear, fit_posteriors, sigmoid
 
 #: Labelled documents that are used at most, the smallest hashes of doc_id first.
 SAMPLE = 12_000
-#: Candidate terms counted at most, and terms that vote.
-CANDIDATES, TERMS = 20_000, 256
+#: Terms that vote.
+TERMS = 256
 #: Toxic documents that must use a term.
 LEAST = 4
 STEMS = (3, 4, 5, 6, 7)
@@ -137,13 +137,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
     return materialise(rows, "sample")
 
 
-def _term_counts(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """``term, toxic, n``: documents that use a term, of ``wanted`` terms or all."""
+def _term_counts(sample: DataFrame) -> DataFrame:
+    """``term, a, b``: toxic and clean documents that use a term."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             held = Words.of(batch.column(0).to_pylist())
-            terms = [[t for t in terms_of(w) if wanted is None or t in wanted] if w else [] for w in held.words]
+            terms = [terms_of(w) if w else [] for w in held.words]
             found: Counter = Counter()
             for i, toxic in enumerate(batch.column(1).to_pylist()):
                 found.update((t, toxic) for t in set().union(*(terms[k] for k in set(held.of_text(i).tolist()))))
@@ -157,27 +157,21 @@ def _term_counts(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
         return step
 
     counted = map_batches(sample, make, "term string, toxic int, n bigint")
-    return counted.groupBy("term", "toxic").agg(F.sum("n").alias("n"))
+    of = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
+    return counted.groupBy("term").agg(of(1).alias("a"), of(0).alias("b"))
 
 
 def induce_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lexicon:
     """The terms that most favour toxic documents, by log-likelihood ratio."""
-    common = _term_counts(sample.where("toxic = 1"), None).where(F.col("n") >= LEAST)
-    common = common.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
-    wanted = frozenset(r["term"] for r in common)
-    inside = {r["term"]: r["n"] for r in common}
-    outside = {r["term"]: r["n"] for r in _term_counts(sample.where("toxic = 0"), wanted).collect()}
-    terms = sorted(wanted)
-    if not terms:
-        return Lexicon([], np.zeros(0, dtype=bool))
-    a = np.array([inside[t] for t in terms], dtype=float)
-    b = np.array([outside.get(t, 0) for t in terms], dtype=float)
-    pa_, pb = (a + 0.5) / (toxic + 1), (b + 0.5) / (clean + 1)
+    a, b = F.col("a"), F.col("b")
+    in_toxic, in_clean = (a + 0.5) / (toxic + 1), (b + 0.5) / (clean + 1)
     p = (a + b + 1) / (toxic + clean + 2)
-    gain = a * np.log(pa_ / p) + b * np.log(pb / p) + (toxic - a) * np.log((1 - pa_) / (1 - p)) + (clean - b) * np.log((1 - pb) / (1 - p))
-    gain = np.where(pa_ > 2 * pb, gain, -1.0)
-    best = [i for i in np.argsort(-gain, kind="stable")[:TERMS] if gain[i] > 3.0]
-    return Lexicon([terms[i] for i in best], (a / np.maximum(1, a + b) > 0.8)[best] & (a[best] >= 2 * LEAST))
+    gain = a * F.log(in_toxic / p) + b * F.log(in_clean / p)
+    gain += (F.lit(toxic) - a) * F.log((1 - in_toxic) / (1 - p)) + (F.lit(clean) - b) * F.log((1 - in_clean) / (1 - p))
+    ranked = _term_counts(sample).where(a >= LEAST).where(in_toxic > 2 * in_clean).withColumn("gain", gain).where("gain > 3.0")
+    best = ranked.orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    strong = [r["a"] / (r["a"] + r["b"]) > 0.8 and r["a"] >= 2 * LEAST for r in best]
+    return Lexicon([r["term"] for r in best], np.array(strong, dtype=bool))
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:

@@ -217,6 +217,14 @@ def test_toxicity(spark, docs, empty):
 # 4 personal data
 
 
+def test_every_term_is_ranked(spark):
+    """Rare terms of toxic documents vote, however many commoner ones both kinds share."""
+    shared = " ".join(f"w{k}" for k in range(21_000))
+    rows = [(shared + (" zorg" if k < 8 else ""), 1) for k in range(10)] + [(shared, 0)] * 30
+    found = toxicity.induce_lexicon(spark.createDataFrame(rows, "text string, toxic int").selectExpr("cast(text as binary) text", "toxic"), 10, 30)
+    assert found.terms == ["=zorg", "zor"] and found.strong.all()
+
+
 def test_tagger_gradients():
     tagger, rng = Tagger(3, hidden=4, embed=3), np.random.default_rng(0)
     tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
