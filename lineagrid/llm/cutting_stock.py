@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import linear
+
 _EPS = 1e-9
 
 
@@ -63,7 +65,7 @@ def solve_patterns(
         out = int(ratio.argmin())
         basis[:, out] = pattern
         if turn % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = linear.inverse(basis)
         else:
             row = inverse[out] / step[out]
             inverse -= np.outer(step, row)

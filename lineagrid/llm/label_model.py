@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import linear
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0)))
@@ -40,7 +42,7 @@ def fit_posteriors(
             centred = votes - rates[k]
             cov += (centred * weight[k][:, None]).T @ centred
         cov = cov / max(1, n) + ridge * np.eye(m)
-        w = np.linalg.solve(cov, rates[1] - rates[0])
+        w = linear.solve(cov, rates[1] - rates[0])
         scores = votes @ w
         q = np.clip(sigmoid(scores + _balanced(scores, share)), 1e-3, 1 - 1e-3)
     spread = np.sqrt(np.diag(cov))
@@ -57,7 +59,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 25)
         p = sigmoid(x @ w)
         gradient = x.T @ (p - y) + penalty * w
         curve = (x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, gradient)
+        step = linear.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break

@@ -18,6 +18,7 @@ from lineagrid.llm import (
     components,
     cutting_stock,
     hyperminhash,
+    linear,
     log_templates,
     packing,
     pfor,
@@ -554,3 +555,14 @@ def test_byte_pieces_decode(spark):
     for _, text, *_ in awkward():
         ids = tokenizer.encode(plain(text), add_special_tokens=False).ids
         assert table.decode(np.array(ids, dtype=np.int64)) == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_linear_systems():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 260):
+        a, b = rng.standard_normal((n, n)), rng.standard_normal(n)
+        assert np.allclose(a @ linear.solve(a, b), b) and np.allclose(a @ linear.inverse(a), np.eye(n))
+    swapped = np.array([[0.0, 1.0], [1.0, 0.0]])
+    assert np.allclose(linear.inverse(swapped), swapped)
+    with pytest.raises(np.linalg.LinAlgError):
+        linear.inverse(np.ones((3, 3)))
