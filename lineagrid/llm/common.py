@@ -18,8 +18,15 @@ BATCH_ROWS = 4000
 BATCH_BYTES = 8 << 20
 
 
+#: Tables whose files have fewer bytes are dealt over all cores as they are read.
+SPREAD_BYTES = 64 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A Parquet table. A small one often is a single row group, that is one task: it is dealt anew, a shuffle of bounded size."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return table.repartition(spark.sparkContext.defaultParallelism) if size < SPREAD_BYTES else table
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -31,12 +38,14 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only when the setting is absent (single-machine tests) a folder of this
-    process is chosen.
+    Only when the setting is absent and the master is local (single-machine
+    tests) a folder of this process is chosen; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     global _own_dir
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="lineagrid-")
@@ -45,6 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _own_dir: str | None = None
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -72,6 +82,7 @@ def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> Da
     if not _written:
         atexit.register(_remove_written)
     _written.append(path)
+    _tables.append(table)
     return spark.table(table)
 
 
@@ -92,6 +103,8 @@ def _remove_written() -> None:
     spark = SparkSession.getActiveSession()
     for path in _written if spark is not None else []:
         try:
+            while _tables:
+                spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
             _remove(spark, path)
         except Exception:  # the context may have stopped already; nothing depends on it
             return

@@ -28,8 +28,9 @@ _PAIR = 0x0000000100000001  # the two votes that share a long
 
 
 def _word_hashes(text: str) -> Column:
-    trimmed = F.lower(F.expr(f"trim(BOTH ' \\t\\n\\x0B\\f\\r' FROM {text})"))
-    return F.transform(F.split(trimmed, "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w))
+    """Hashes of the words of a text in lower case; white space at its ends leaves no empty words."""
+    words = F.split(F.lower(text), "[\\x20\\x09-\\x0D]+")
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def vote(texts: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
@@ -81,6 +82,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return vote(rows, ["doc_id", "h"], []).drop("h").withColumn("fingerprint", as_text())
 
 
+def _bounds_from(rank: str, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are at least ``rank``: looked up in two levels, as there is one for each partition."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    longs = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
+    whole = F.size(F.filter(longs([g[-1] for g in groups]), lambda c: c < F.col(rank)))
+    own = F.coalesce(F.get(F.array(*map(longs, groups)), whole), F.array().cast("array<bigint>"))
+    return F.lit(len(bounds)) - F.least(whole * step, F.lit(len(bounds))) - F.size(F.filter(own, lambda c: c < F.col(rank)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row with the one that follows in descending doc_id: ``text, next_text, next_id, seq, bucket``.
 
@@ -93,8 +106,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"), rank.alias("rank"))
     cuts = rows.agg(F.percentile_approx("rank", [i / n for i in range(1, n)] or [0.5], 10000)).first()[0] or []
-    bounds = F.array(*[F.lit(int(c)).cast("bigint") for c in sorted(set(cuts))]) if cuts else F.array(F.lit(0).cast("bigint"))
-    rows = rows.withColumn("bucket", F.size(F.filter(bounds, lambda c: c >= F.col("rank"))))
+    rows = rows.withColumn("bucket", _bounds_from("rank", sorted({int(c) for c in cuts})))
     heads = sorted((r["bucket"], r["rank"]) for r in rows.groupBy("bucket").agg(F.max("rank").alias("rank")).collect())
     if not heads:
         heads = [(0, 0)]

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -128,8 +129,38 @@ def test_packing(docs, empty):
 # 2 fingerprints
 
 
-def brute_fingerprint(spark, text):
-    return simhash.fingerprints(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["fingerprint"]
+def brute_fingerprint(text):
+    """128 signed votes of five-word terms, from the words up; shares no code with the operator."""
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", text.lower()) if w]
+    hashed = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    votes = [0] * 128
+    for i in range(max(1, len(words) - 4)):
+        for k in range(2):
+            h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), seed=42)
+            for w in hashed[i : i + 5]:
+                h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), seed=h)
+            for b in range(64):
+                votes[64 * k + b] += 1 if h >> b & 1 else -1
+    bits = [v > 0 for v in votes]
+    return "".join(f"{sum(1 << b for b in range(64) if bits[64 * k + b]):016x}" for k in range(2))
+
+
+def test_fingerprints_by_hand(spark, docs):
+    odd = ["fox ran off", "ox ran o", "\x0bfox ran off\x0b\x0c", "0 x B f 0", "f", "x0Bf", "\t\n", "a b c d e", "a b c d e f a b c d e"]
+    rows = [(100 + k, t) for k, t in enumerate(odd)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = simhash.fingerprints(table).collect()
+    texts = {(d, brute_fingerprint(plain(t))) for d, t, *_ in awkward()} | {(d, brute_fingerprint(t)) for d, t in rows}
+    assert {(r["doc_id"], r["fingerprint"]) for r in found} == texts
+    by = {d: f for d, f in texts}
+    assert by[100] != by[101] and by[100] == by[102]
+
+
+def test_bounds_in_two_levels(spark):
+    for bounds in ([], [5], [1, 1, 4], list(range(0, 60, 3)), list(range(17))):
+        ranks = spark.range(-2, 62).select(F.col("id").alias("rank"))
+        found = ranks.select("rank", simhash._bounds_from("rank", sorted(set(bounds))).alias("n")).collect()
+        assert all(r["n"] == sum(b >= r["rank"] for b in set(bounds)) for r in found)
 
 
 def test_fingerprints(spark, docs, empty):
@@ -151,7 +182,7 @@ def test_fingerprints(spark, docs, empty):
         bits = bin(int(row["fingerprint"], 16) ^ int(row["edited_fingerprint"], 16)).count("1")
         assert row["near_edited"] == 1 - bits / 128
     copies = {r["fingerprint"] for r in by_text[6]}
-    assert len(copies) == 1 and copies == {brute_fingerprint(spark, held[[h[0] for h in held].index(6)][1])}
+    assert len(copies) == 1 and copies == {brute_fingerprint(held[[h[0] for h in held].index(6)][1])}
     assert simhash.edited_likeness(empty).count() == 0
 
 
