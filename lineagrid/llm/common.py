@@ -25,7 +25,7 @@ SPREAD_BYTES = 64 << 20
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table. A small one often is a single row group, that is one task: it is dealt anew, a shuffle of bounded size."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return table.repartition(spark.sparkContext.defaultParallelism) if size < SPREAD_BYTES else table
 
 
