@@ -4,11 +4,13 @@ A normalised text is cut into fixed-size byte blocks. Distinct blocks are
 sorted and numbered; then adjacent names pair up, distinct pairs are sorted and
 numbered again, until one name a document is left. Names are equal exactly when
 contents are, so ``(number of blocks, last name)`` identifies a text without
-collisions.
+collisions. A name is a rank among sorted values, so it does not depend on how
+rows are dealt.
 
-Blocks travel once, to be sorted and named. Occurrences look their name up by
-a 128-bit digest; that digests and blocks are one to one is checked on all
-blocks, and where it fails the look-up goes by the block itself.
+Blocks travel once, to be made distinct. They are sorted by their first bytes
+and a 128-bit digest, by which occurrences look their name up; that digests and
+blocks are one to one is checked on all blocks, and where it fails blocks are
+sorted and looked up whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, discard, fresh, materialise, where_in_table
+from .common import bit_table, discard, fresh, join_hot, materialise, shuffle_partitions, where_in_table
 
 #: Bytes of a block.
 BLOCK = 2048
@@ -28,13 +30,25 @@ def normalised(text: Column) -> Column:
 
 
 def name_values(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Sort and number the rows of ``distinct``; written, so that names never change.
+    """Sort the rows of ``distinct`` by ``keys`` and number them from 0 as ``name``.
 
-    Rows stay in the partitions that made them distinct: within a partition
-    names ascend with the keys, and its number is in their high bits.
+    Rows are sorted in ranges, which are written; a range's numbers begin where
+    the one before it ends. So a name is a rank and does not depend on the
+    number of partitions. At most a number for each range reaches the driver.
     """
-    ordered = distinct.sortWithinPartitions(*keys)
-    return materialise(ordered.withColumn("name", F.monotonically_increasing_id()), "names")
+    spark = distinct.sparkSession
+    ordered = distinct.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    ordered = materialise(ordered.withColumn("_at", F.monotonically_increasing_id()), "names")
+    part = F.shiftright("_at", 33)
+    sizes = ordered.groupBy(part.alias("part")).count().orderBy("part").collect()
+    firsts, total = [], 0
+    for r in sizes:
+        firsts.append((r["part"], total))
+        total += r["count"]
+    firsts = spark.createDataFrame(firsts, "_part bigint, _first bigint")
+    found = ordered.join(F.broadcast(firsts), part == F.col("_part"))  # as many rows as ranges
+    name = F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return found.withColumn("name", name).drop("_at", "_part", "_first")
 
 
 def digest_of(column: str) -> Column:
@@ -55,13 +69,19 @@ def identify(docs: DataFrame, carry: list[str], block: int = BLOCK, digest=diges
     first_only = [F.when(F.col("place") == 0, F.col(c)).alias(c) for c in carry]
     cut = F.expr(f"substring(data, place * {block} + 1, {block})")
     rows = rows.select("row", *first_only, (F.col("last") + 1).alias("n_blocks"), "place", cut.alias("block"))
-    named = name_values(rows.select("block").distinct().withColumn("digest", digest("block")), ["block"])
+    rows = materialise(rows.withColumn("digest", digest("block")), "blocks")
+    blocks = rows.groupBy("block").agg(F.count("*").alias("uses")).withColumn("digest", digest("block"))
+    named = name_values(blocks.select(F.substring("block", 1, 16).alias("head"), "digest", "uses"), ["head", "digest"])
     counts = named.agg(F.count("*").alias("n"), F.countDistinct("digest").alias("d")).first()
-    by = (lambda c: digest(c)) if counts.n == counts.d else F.col
-    lookup = named.select((F.col("digest") if counts.n == counts.d else F.col("block")).alias("key"), "name")
-    level = rows.select("row", *carry, "n_blocks", "place", by("block").alias("key"))
-    base = materialise(level.join(lookup, "key").drop("key").withColumnRenamed("name", "identity"), "level")
+    key = "digest"
+    if counts.n != counts.d:
+        discard(named)
+        key, named = "block", name_values(blocks.select("block", "uses"), ["block"])
+    level = rows.select("row", *carry, "n_blocks", "place", key)
+    base = join_hot(level, named.select(key, "uses", "name"), [key], "uses")
+    base = materialise(base.drop(key, "uses").withColumnRenamed("name", "identity"), "level")
     discard(named)
+    discard(rows)
     level = base.where("n_blocks > 1").select("row", "n_blocks", "place", "identity")
     longest, size, done = base.agg(F.max("n_blocks")).first()[0] or 1, 1, []
     while size < longest:
@@ -71,8 +91,8 @@ def identify(docs: DataFrame, carry: list[str], block: int = BLOCK, digest=diges
             F.coalesce(F.max(F.when(side == 1, F.col("identity"))), F.lit(-1)).alias("b"),
         )
         pairs = materialise(pairs, "pairs")
-        named = name_values(pairs.select("a", "b").distinct(), ["a", "b"])
-        level = pairs.join(named, ["a", "b"]).select("row", "n_blocks", "place", F.col("name").alias("identity"))
+        named = name_values(pairs.groupBy("a", "b").agg(F.count("*").alias("uses")), ["a", "b"])
+        level = join_hot(pairs, named, ["a", "b"], "uses").select("row", "n_blocks", "place", F.col("name").alias("identity"))
         level, size = materialise(level, "level"), size * 2
         discard(pairs)
         discard(named)
@@ -99,7 +119,7 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, digest=digest_of) -> DataF
     ids = materialise(identify(rows, ["doc_id", "text_sha256"], block, digest), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     groups = ids.groupBy("n_blocks", "identity").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    found = ids.join(groups, ["n_blocks", "identity"])
+    found = join_hot(ids, materialise(groups, "groups"), ["n_blocks", "identity"], "group_size")
     return found.select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
@@ -121,8 +141,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     sure = where_in_table(rows, hashed, table, inside=False)
     # Copies, and rows that repeat a kept one: of those that are kept, one of each stays.
     kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    rest = where_in_table(rows, hashed, table).alias("rest")
+    rest = where_in_table(rows, hashed, table).dropDuplicates(["doc_id", sha]).alias("rest")
     kept = kept.alias("kept")
     same = F.col("rest.doc_id").eqNullSafe(F.col("kept._kept_id")) & (F.col(f"rest.{sha}") == F.col("kept._kept_sha"))
-    rest = rest.join(kept, same, "left_semi").dropDuplicates(["doc_id", sha])
+    rest = rest.join(kept, same, "left_semi")
     return sure.unionByName(rest).drop(sha)

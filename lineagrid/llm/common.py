@@ -6,15 +6,17 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker. Texts
 #: may be very long, so batches are kept small in rows as well as in bytes.
-BATCH_ROWS = 4000
+BATCH_ROWS = 20_000
 BATCH_BYTES = 8 << 20
 
 
@@ -157,6 +159,96 @@ def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[place // 32] >> (place % 32).astype(np.uint32)) & 1 > 0
 
 
+#: Keys of a set that are broadcast at most: the ones with most rows.
+HOT = 1 << 17
+
+
+@dataclass
+class Members:
+    """A set of 64-bit keys: the ``HOT`` heaviest at hand, the rest (if any) as a table ``key, docs``.
+
+    The rest holds no heavy key, so a join with it has no hot group.
+    """
+
+    hot: np.ndarray
+    rest: DataFrame | None
+
+    def broadcast(self, spark: SparkSession):
+        """Broadcasts for workers: the sorted hot keys, and a bit table of the rest or None."""
+        send = spark.sparkContext.broadcast
+        return send(self.hot), send(bit_table(self.rest, "key")) if self.rest is not None else None
+
+
+def among(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which ``keys`` are in the sorted array ``held``."""
+    if not len(held):
+        return np.zeros(len(keys), dtype=bool)
+    return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
+
+
+def members(keys: DataFrame, hot: int = HOT) -> Members:
+    """The set of distinct ``key`` in ``keys(key, docs)``, a written table; ``docs`` is a key's weight."""
+    top = keys.orderBy(F.desc("docs"), "key").limit(hot).toArrow()  # at most ``hot`` rows
+    held = np.sort(top["key"].to_numpy())
+    if len(held) < hot:
+        return Members(held, None)
+    last = pc.min(top["docs"]).as_py()
+    after = int(top["key"].to_numpy()[top["docs"].to_numpy() == last].max())
+    rest = keys.where((F.col("docs") < last) | ((F.col("docs") == last) & (F.col("key") > after)))
+    return Members(held, rest)
+
+
+def within(df: DataFrame, column: str, found: Members) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is a member; a hot key needs no shuffle."""
+    spark = df.sparkSession
+    hot = spark.createDataFrame(pa.table({column: pa.array(found.hot, type=pa.int64())}))
+    sure = df.join(F.broadcast(hot), column, "left_semi")
+    if found.rest is None:
+        return sure
+    others = df.join(F.broadcast(hot), column, "left_anti")
+    return sure.unionByName(others.join(found.rest.select(F.col("key").alias(column)), column, "left_semi"))
+
+
+#: Groups that are broadcast at most when rows are joined with them: the ones with most rows.
+HOT_GROUPS = 10_000
+
+
+def join_hot(df: DataFrame, groups: DataFrame, keys: list[str], weight: str, limit: int = HOT_GROUPS) -> DataFrame:
+    """Inner join of ``df`` with ``groups`` (one row for each value of ``keys``), both written tables.
+
+    The ``limit`` groups with the largest ``weight`` (their rows in ``df``) are
+    broadcast; any other has less than one in ``limit`` of the rows, so no task
+    of the join of the rest gets a large share.
+    """
+    hot = materialise(groups.orderBy(F.desc(weight), *keys).limit(limit), "hot")
+    sure = df.join(F.broadcast(hot), keys)
+    if hot.count() < limit:
+        return sure
+    rest = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return sure.unionByName(rest.join(groups, keys))
+
+
+#: Rows with one key that a salted join puts together.
+SALTED_ROWS = 1000
+
+
+def join_salted(df: DataFrame, table: DataFrame, key: str, rows: int = SALTED_ROWS, limit: int = HOT_GROUPS) -> DataFrame:
+    """Inner join of ``df`` (a written table) with ``table``, which has one wide row for each ``key``.
+
+    Keys with more than ``rows`` rows in ``df``, the ``limit`` heaviest of
+    them, are dealt to parts of about that size, and their row of ``table`` is
+    repeated for each part. Any other key has less than one in ``limit`` of the
+    rows of ``df`` or no more than ``rows``.
+    """
+    heavy = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).orderBy(F.desc("_n"), key).limit(limit)
+    heavy = materialise(heavy.select(F.col(key), F.ceil(F.col("_n") / rows).cast("int").alias("_parts")), "heavy")
+    parts = F.coalesce("_parts", F.lit(1))
+    others = [F.col(c) for c in df.columns if c != key]
+    left = df.join(F.broadcast(heavy), key, "left").withColumn("_part", F.pmod(F.xxhash64(*others), parts).cast("int"))
+    right = table.join(F.broadcast(heavy), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"]).drop("_part")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

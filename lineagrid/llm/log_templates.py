@@ -2,334 +2,343 @@
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the
 leading tokens. Tokens with a digit are variable fields and read ``<*>``. In a
-leaf, lines whose tokens agree in most places are one template, with ``<*>``
-where they differ. Templates that recur in enough documents are dropped from
-all of them.
-
-Only leaves that reach ``min_docs`` documents can hold such a template. They
-are found from counts by leaf; a bit table of fixed size lets only their lines
-travel. A leaf with very many distinct lines is dealt into parts by line hash;
-the templates of its parts are then merged by the same rule of similarity, so
-lines need not share a part to share a template.
+leaf, a token stays where enough documents have it in the same place; any other
+token is a variable field too, and one more may be. What then reads alike is
+one template. Templates that recur in enough documents are dropped from all of
+them, as are lines that recur word for word.
+
+All of this is counting, so it does not depend on the order of lines, on how
+rows are dealt or on how many lines a leaf or a template has. Texts are
+tokenised once; later steps read the hashes of their lines. A leaf under
+``min_docs`` documents can hold no template, and a bit table of fixed size lets
+only lines of other leaves travel.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, bit_table, bound_batches, in_table, map_batches, materialise, record_batch, text_bytes
+from .common import HOT, Members, among, bit_table, in_table, map_batches, materialise, members, record_batch, text_bytes, within
 
 #: Leading tokens that lead to a leaf, after the number of tokens.
 DEPTH = 3
-#: The share of tokens that must agree with a template.
+#: The share of tokens that a template must keep, or that are fields with a digit.
 SIMILARITY = 0.7
 #: The share of tokens that must be fixed in a template to be dropped: fields alone say nothing.
 FIXED = 0.5
-#: Documents in which a template must occur to be dropped.
+#: Documents in which a token must have its place to stay, and a template or a line must occur to be dropped.
 MIN_DOCS = 10
-#: Distinct lines of a leaf that one task compares.
-LEAF_LINES = 4000
 FIELD = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
+_ALL = (1 << 64) - 1
+_LINE, _TOKEN, _VERBATIM = 0, 1, 2  # what a candidate row counts
 
 
 def masked_tokens(line: bytes) -> list[bytes]:
-    """Tokens of a line, with variable fields masked."""
+    """Tokens of a line, with fields that hold a digit masked."""
     tokens = line.split()
     if _DIGIT.search(line):
         tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
     return tokens
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+def _leaf_of(tokens: list[bytes]) -> int:
+    """64-bit hash of the path: number of tokens and leading tokens."""
+    return xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH]))
 
 
-def leaf_of(tokens: list[bytes], depth: int = DEPTH) -> int:
-    """64-bit hash of the path: number of tokens and leading tokens."""
-    return _signed(xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:depth])))
+def _hash(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
+def _longs(values: Sequence[int]) -> np.ndarray:
+    return np.array(values, dtype=np.uint64).view(np.int64)
+
+
+def _token_keys(leaf: int, tokens: list[bytes]) -> dict[int, int]:
+    """``place: key`` of the tokens that may vary in a leaf."""
+    seed = leaf & _ALL
+    return {
+        i: xxhash.xxh3_64_intdigest(b"%d " % i + tokens[i], seed=seed) for i in range(DEPTH, len(tokens)) if tokens[i] != FIELD
+    }
+
 
+def parse_lines(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text, leaves, lines, raws``, written once.
 
-def line_hash(tokens: list[bytes]) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
+    The last three hold 64 bits a line: of its leaf, of its masked tokens, and
+    what turns the latter into the hash of its own tokens. A line without
+    tokens has zeros.
+    """
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text")
+    )
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: tuple[list[bytes], ...] = ([], [], [])
+            for text in batch.column(2).to_pylist():
+                leaves, lines, raws = [], [], []
+                for line in text.split(b"\n"):
+                    tokens = masked_tokens(line)
+                    if not tokens:
+                        for held in (leaves, lines, raws):
+                            held.append(0)
+                        continue
+                    masked = _hash(b" ".join(tokens))
+                    leaves.append(_leaf_of(tokens))
+                    lines.append(masked)
+                    raws.append(masked ^ _hash(b" ".join(line.split())) if FIELD in tokens else 0)
+                for held, own in zip(out, (leaves, lines, raws)):
+                    held.append(_longs(own).tobytes())
+            packed = [pa.array(x, type=pa.binary()) for x in out]
+            return record_batch(
+                row=batch.column(0), doc_id=batch.column(1), text=batch.column(2), leaves=packed[0], lines=packed[1], raws=packed[2]
+            )
 
+        return step
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
+    schema = "row bigint, doc_id bigint, text binary, leaves binary, lines binary, raws binary"
+    return materialise(map_batches(rows, make, schema), "lines")
 
 
-def leaf_documents(docs: DataFrame) -> DataFrame:
+def leaf_documents(parsed: DataFrame) -> DataFrame:
     """``leaf, docs``: documents with a line in each leaf; empty lines have none."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found: dict[int, int] = {}
-            for text in batch.column(1).to_pylist():
-                own = {leaf_of(t) for line in text.split(b"\n") if (t := masked_tokens(line))}
-                for leaf in own:
-                    found[leaf] = found.get(leaf, 0) + 1
-            return record_batch(leaf=pa.array(list(found), type=pa.int64()), docs=pa.array(list(found.values()), type=pa.int64()))
+            own = [np.unique(np.frombuffer(x, "<i8")) for x in batch.column(0).to_pylist()]
+            leaves, counts = np.unique(np.concatenate(own), return_counts=True)
+            held = leaves != 0
+            return record_batch(leaf=pa.array(leaves[held]), docs=pa.array(counts[held].astype(np.int64)))
 
         return step
 
-    return map_batches(_lines(docs), make, "leaf bigint, docs bigint").groupBy("leaf").agg(F.sum("docs").alias("docs"))
+    return map_batches(parsed.select("leaves"), make, "leaf bigint, docs bigint").groupBy("leaf").agg(F.sum("docs").alias("docs"))
 
 
-def _candidate_lines(docs: DataFrame, table) -> DataFrame:
-    """``leaf, line, text, docs``: distinct masked lines of likely leaves, by task, with their documents."""
+def _candidates(parsed: DataFrame, table: np.ndarray) -> DataFrame:
+    """``kind, key, leaf, text, docs`` of likely leaves, written once: documents of each masked line, token in its place, and own line with fields."""
+    held_table = parsed.sparkSession.sparkContext.broadcast(table)
 
     def make():
-        bits = table.value
+        bits = held_table.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found: dict[int, list] = {}
-            for text in batch.column(1).to_pylist():
-                lines = [t for raw in text.split(b"\n") if (t := masked_tokens(raw))]
-                leaves = [leaf_of(t) for t in lines]
-                own = set()
-                for k in np.flatnonzero(in_table(bits, np.array(leaves, dtype=np.int64))).tolist():
-                    h = line_hash(lines[k])
-                    if h not in own:
-                        own.add(h)
-                        if h in found:
-                            found[h][2] += 1
-                        else:
-                            found[h] = [leaves[k], b" ".join(lines[k]), 1]
+            tokens_in: Counter = Counter()
+            verbatim: Counter = Counter()
+            for text, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                leaves, lines, raws = (np.frombuffer(x, "<i8") for x in blobs)
+                at = np.flatnonzero(in_table(bits, leaves) & (leaves != 0))
+                if not len(at):
+                    continue
+                split, keys = text.split(b"\n"), lines[at].tolist()
+                for k, key in zip(at.tolist(), keys):
+                    if key not in found:
+                        tokens = masked_tokens(split[k])
+                        own = _longs(list(_token_keys(int(leaves[k]), tokens).values())).tolist()
+                        found[key] = [int(leaves[k]), b" ".join(tokens), 0, own]
+                distinct = set(keys)
+                for key in distinct:
+                    found[key][2] += 1
+                tokens_in.update(set().union(*(found[key][3] for key in distinct)))
+                with_field = at[raws[at] != 0]
+                verbatim.update(set((lines[with_field] ^ raws[with_field]).tolist()))
+            n = (len(found), len(tokens_in), len(verbatim))
             rows = list(found.values())
             return record_batch(
-                leaf=pa.array([r[0] for r in rows], type=pa.int64()),
-                line=pa.array(list(found), type=pa.int64()),
-                text=pa.array([r[1] for r in rows], type=pa.binary()),
-                docs=pa.array([r[2] for r in rows], type=pa.int64()),
+                kind=pa.array(np.repeat(np.array([_LINE, _TOKEN, _VERBATIM], dtype=np.int8), n)),
+                key=pa.array([*found, *tokens_in, *verbatim], type=pa.int64()),
+                leaf=pa.array([r[0] for r in rows] + [None] * (n[1] + n[2]), type=pa.int64()),
+                text=pa.array([r[1] for r in rows] + [None] * (n[1] + n[2]), type=pa.binary()),
+                docs=pa.array([*(r[2] for r in rows), *tokens_in.values(), *verbatim.values()], type=pa.int64()),
             )
 
         return step
 
-    rows = map_batches(_lines(docs), make, "leaf bigint, line bigint, text binary, docs bigint")
-    return rows.groupBy("leaf", "line").agg(F.min("text").alias("text"), F.sum("docs").alias("docs"))
-
-
-def _split_leaves(lines: DataFrame, limit: int) -> DataFrame:
-    """Add ``part, parts``: leaves with over ``limit`` distinct lines are dealt by line hash into parts of about that size."""
-    size = F.count("*").over(Window.partitionBy("leaf"))
-    lines = lines.withColumn("parts", F.ceil(size / F.lit(float(limit))).cast("bigint"))
-    return lines.withColumn("part", F.expr("pmod(line, parts)"))
-
-
-class _Leaf:
-    """Templates of one leaf, grown from its lines in a fixed order."""
-
-    def __init__(self):
-        self.held = np.zeros((0, 0), dtype=np.int32)
-        self.size = 0
-        self.numbers: dict[bytes, int] = {FIELD: 0}
-
-    def add(self, text: bytes, general: bool = False) -> int:
-        """The template that ``text`` joins or begins; the fields of a ``general`` text, a template of several lines, fit all."""
-        tokens = text.split(b" ")
-        own = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens], dtype=np.int32)
-        held = self.held[: self.size]
-        if self.size:
-            free = held == 0
-            agree = ((held == own) & ~free).mean(axis=1)
-            fits = agree + (free | (own == 0) if general else free).mean(axis=1)
-            agree = np.where(fits >= SIMILARITY, agree, 0.0)
-            best = int(agree.argmax())
-            if agree[best] >= SIMILARITY / 2:
-                held[best] = np.where(held[best] == own, held[best], 0)
-                return best
-        if self.size == len(self.held):
-            grown = np.zeros((max(16, 2 * self.size), len(own)), dtype=np.int32)
-            if self.size:
-                grown[: self.size] = held
-            self.held = grown
-        self.held[self.size] = own
-        self.size += 1
-        return self.size - 1
-
-    def is_specific(self, k: int) -> bool:
-        return bool((self.held[k] != 0).mean() >= FIXED)
-
-    def texts(self) -> list[bytes]:
-        words = list(self.numbers)
-        return [b" ".join(words[i] for i in row) for row in self.held[: self.size].tolist()]
-
-
-def _grown(rows: DataFrame, keys: list[str], finish, schema: str) -> DataFrame:
-    """``finish(key, leaf, held)`` of each group of ``keys``, whose rows come in order as ``*keys, text, general, ...``.
-
-    ``held`` lists the number of each row's template with the row after ``general``.
-    """
-    n = len(keys)
+    rows = map_batches(parsed.select("text", "leaves", "lines", "raws"), make, "kind tinyint, key bigint, leaf bigint, text binary, docs bigint")
+    found = rows.groupBy("kind", "key").agg(F.min("leaf").alias("leaf"), F.min("text").alias("text"), F.sum("docs").alias("docs"))
+    return materialise(found, "candidates")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaf, held = None, _Leaf(), []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:n] != now:
-                    if held:
-                        yield from finish(now, leaf, held)
-                    now, leaf, held = row[:n], _Leaf(), []
-                held.append((leaf.add(row[n], row[n + 1]), *row[n + 2 :]))
-        if held:
-            yield from finish(now, leaf, held)
 
-    return rows.mapInArrow(run, schema)
+def _line_templates(lines: DataFrame, frequent: Members) -> DataFrame:
+    """``line, docs, template`` of each line and the templates that it is one of, where they say enough.
 
-
-def _sums(held: list[tuple], at: int) -> dict[int, int]:
-    totals: dict[int, int] = {}
-    for row in held:
-        totals[row[0]] = totals.get(row[0], 0) + row[at]
-    return totals
-
-
-def _in_parts(lines: DataFrame, min_docs: int) -> DataFrame:
-    """``leaf, part, parts, line, k, template, docs, specific``: the template of each line in its part, written once.
-
-    Lines of templates that cannot reach ``min_docs`` are left out where the part is the whole leaf.
-    """
-    rows = lines.withColumn("general", F.lit(False)).repartition("leaf", "part")
-    rows = rows.sortWithinPartitions("leaf", "part", F.desc("docs"), "text")
-    rows = rows.select("leaf", "part", "parts", "text", "general", "line", "docs")
-
-    def finish(key: tuple, leaf: _Leaf, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        totals, texts = _sums(held, 2), leaf.texts()
-        whole = key[2] == 1
-        out = [
-            (*key, line, k, texts[k], totals[k] if whole else n, leaf.is_specific(k))
-            for k, line, n in held
-            if not whole or totals[k] >= min_docs
-        ]
-        for at in range(0, len(out), BATCH_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out[at : at + BATCH_ROWS]), types)], names=names)
-
-    names = ["leaf", "part", "parts", "line", "k", "template", "docs", "specific"]
-    types = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.bool_()]
-    schema = "leaf bigint, part bigint, parts bigint, line bigint, k bigint, template binary, docs bigint, specific boolean"
-    return materialise(_grown(rows, ["leaf", "part", "parts"], finish, schema), "parts")
-
-
-def _merged(parts: DataFrame, min_docs: int) -> DataFrame:
-    """``leaf, part, k, merged, template, docs, specific``: templates of the parts of a leaf as one, from ``min_docs`` on.
-
-    Those of several lines come first, so that single lines meet them by the rule for lines.
+    These are its own, by the tokens that stay, and each with one of those a
+    field as well: the values of a field may be few and frequent themselves.
     """
-    found = parts.groupBy("leaf", "part", "k").agg(
-        F.min("template").alias("template"), F.sum("docs").alias("docs"), (F.count("*") > 1).alias("general")
-    )
-    rows = found.repartition("leaf").sortWithinPartitions("leaf", F.desc("general"), F.desc("docs"), "template", "part", "k")
-    rows = rows.select("leaf", F.col("template").alias("text"), "general", "part", "k", "docs")
+    hot, bits = frequent.broadcast(lines.sparkSession)
 
-    def finish(key: tuple, leaf: _Leaf, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        totals, texts = _sums(held, 3), leaf.texts()
-        out = [(*key, part, k, m, texts[m], totals[m], leaf.is_specific(m)) for m, part, k, _ in held if totals[m] >= min_docs]
-        for at in range(0, len(out), BATCH_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out[at : at + BATCH_ROWS]), types)], names=names)
-
-    names = ["leaf", "part", "k", "merged", "template", "docs", "specific"]
-    types = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.bool_()]
-    schema = "leaf bigint, part bigint, k bigint, merged bigint, template binary, docs bigint, specific boolean"
-    return _grown(rows, ["leaf"], finish, schema)
+    def make():
+        common, rest = hot.value, bits.value if bits is not None else None
 
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fixed, places, keys = [], [], []
+            for leaf, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                own = _token_keys(leaf, text.split(b" "))
+                at, key = np.array(list(own), dtype=np.int32), _longs(list(own.values()))
+                sure = among(common, key)
+                fixed.append(at[sure].tolist())
+                maybe = ~sure & in_table(rest, key) if rest is not None else np.zeros(len(key), dtype=bool)
+                places.append(at[maybe].tolist())
+                keys.append(key[maybe].tolist())
+            return record_batch(
+                line=batch.column(0), docs=batch.column(1), leaf=batch.column(2), text=batch.column(3),
+                fixed=pa.array(fixed, type=pa.list_(pa.int32())),
+                places=pa.array(places, type=pa.list_(pa.int32())),
+                keys=pa.array(keys, type=pa.list_(pa.int64())),
+            )
 
-def templates(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES) -> DataFrame:
-    """``line, leaf, k, template, docs``: distinct masked lines of templates that may recur, ``k`` in ``leaf``; written once.
+        return step
 
-    ``docs`` sums, over a template's lines, the documents that hold each: no
-    fewer than the documents of the template.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    leaves = leaf_documents(docs).where(F.col("docs") >= min_docs)
-    table = spark.sparkContext.broadcast(bit_table(leaves, "leaf"))
-    parts = _in_parts(_split_leaves(_candidate_lines(docs, table), limit), min_docs)
-    split = parts.where("parts > 1")
-    merged = split.select("leaf", "part", "k", "line").join(_merged(split, min_docs), ["leaf", "part", "k"])
-    columns = ["line", "leaf", "k", "template", "docs"]
-    rows = merged.drop("k").withColumnRenamed("merged", "k").where("specific").select(columns)
-    return materialise(parts.where("parts = 1 and specific").select(columns).unionByName(rows), "templates")
+    schema = "line bigint, docs bigint, leaf bigint, text binary, fixed array<int>, places array<int>, keys array<bigint>"
+    marked = map_batches(lines.select("key", "docs", "leaf", "text"), make, schema)
+    if frequent.rest is not None:
+        marked = materialise(marked, "marked")
+        each = marked.select("line", F.explode(F.arrays_zip("places", "keys")).alias("t"))
+        each = each.select("line", F.col("t.places").alias("place"), F.col("t.keys").alias("key"))
+        more = each.join(frequent.rest.select("key"), "key", "left_semi").groupBy("line").agg(F.collect_list("place").alias("more"))
+        marked = marked.join(more, "line", "left")
+        marked = marked.withColumn("fixed", F.concat("fixed", F.coalesce("more", F.array().cast("array<int>"))))
+
+    def name():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[tuple[int, int, int]] = []
+            for line, docs, leaf, text, fixed in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = text.split(b" ")
+                keys = _token_keys(leaf, tokens)
+                lost, kept = len(keys) - len(fixed), len(fixed) + sum(t != FIELD for t in tokens[:DEPTH])
+                most_lost, least_kept = (1 - SIMILARITY) * len(tokens) + 1e-9, FIXED * len(tokens)
+                # A template is its leaf and its fixed tokens; hashes that add up let one more become a field at no cost.
+                whole = leaf + sum(keys[i] for i in fixed)
+                if lost <= most_lost and kept >= least_kept:
+                    out.append((line, docs, whole & _ALL))
+                if lost + 1 <= most_lost and kept - 1 >= least_kept:
+                    out += [(line, docs, (whole - keys[i]) & _ALL) for i in fixed]
+            lines, counts, names = zip(*out) if out else ((), (), ())
+            return record_batch(line=pa.array(lines, type=pa.int64()), docs=pa.array(counts, type=pa.int64()), template=pa.array(_longs(names)))
 
+        return step
 
-def _recurring(each: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
-    """``line`` of the templates in ``found`` that occur in ``min_docs`` different rows of ``each(row, line)``; written once."""
-    own = each.join(found.select("line", "leaf", "k"), "line").select("leaf", "k", "row").distinct()
-    sure = own.groupBy("leaf", "k").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs)
-    return materialise(found.join(sure, ["leaf", "k"], "left_semi").select("line").distinct(), "recurring")
+    return map_batches(marked.select("line", "docs", "leaf", "text", "fixed"), name, "line bigint, docs bigint, template bigint")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = LEAF_LINES) -> DataFrame:
-    """Per row of ``docs``: doc_id, text without lines of recurring templates, n_lines, n_dropped.
-
-    Lines end at a newline; lines without tokens are kept. A null text is
-    empty (one line); repeated rows count as documents of their own. Other
-    columns are not read.
-    """
-    spark = docs.sparkSession
-    found = templates(docs, min_docs, limit)
-    table = spark.sparkContext.broadcast(bit_table(found, "line"))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text")
-    )
+def _rows_with(parsed: DataFrame, table: np.ndarray) -> DataFrame:
+    """``row, line`` of the masked lines of each row that a bit table holds."""
+    held = parsed.sparkSession.sparkContext.broadcast(table)
 
     def make():
-        bits = table.value
+        bits = held.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lines, counts = [], []
-            for text in batch.column(2).to_pylist():
-                own = text.split(b"\n")
-                hashes = [line_hash(t) if (t := masked_tokens(x)) else None for x in own]
-                distinct = np.array([h for h in dict.fromkeys(hashes) if h is not None], dtype=np.int64)
-                lines.append(distinct[in_table(bits, distinct)].tolist())
-                counts.append(len(own))
-            return record_batch(
-                row=batch.column(0),
-                doc_id=batch.column(1),
-                text=batch.column(2),
-                n_lines=pa.array(counts, type=pa.int64()),
-                likely=pa.array(lines, type=pa.list_(pa.int64())),
-            )
+            own = [np.unique(np.frombuffer(x, "<i8")) for x in batch.column(1).to_pylist()]
+            own = [x[in_table(bits, x) & (x != 0)] for x in own]
+            rows = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            return record_batch(row=pa.array(rows), line=pa.array(np.concatenate(own)))
 
         return step
 
-    schema = "row bigint, doc_id bigint, text binary, n_lines bigint, likely array<bigint>"
-    marked = map_batches(rows, make, schema)
-    plain = marked.where(F.size("likely") == 0).withColumn("drop", F.array().cast("array<bigint>"))
-    likely = materialise(marked.where(F.size("likely") > 0), "marked")
-    each = likely.select("row", F.explode("likely").alias("line"))
-    sure = each.join(_recurring(each, found, min_docs), "line", "left_semi").groupBy("row").agg(F.collect_set("line").alias("drop"))
-    likely = likely.join(sure, "row", "left")
-    columns = ["doc_id", "text", "n_lines", "drop"]
-    both = likely.select(columns).unionByName(plain.select(columns))
+    return map_batches(parsed.select("row", "lines"), make, "row bigint, line bigint")
+
+
+def recurring_lines(parsed: DataFrame, min_docs: int = MIN_DOCS, hot: int = HOT) -> DataFrame:
+    """``key, docs``: hashes of the lines to drop, masked ones and verbatim ones; written once.
+
+    A template has at least the documents of its most common line and at most
+    those of all its lines together. Only where these bounds leave it open are
+    its documents counted one by one; each of its lines then has fewer than
+    ``min_docs`` documents, so no line is a hot key.
+    """
+    spark = parsed.sparkSession
+    leaves = leaf_documents(parsed).where(F.col("docs") >= min_docs)
+    found = _candidates(parsed, bit_table(leaves, "leaf"))
+    often = found.where(F.col("docs") >= min_docs).select("kind", "key", "docs")
+    verbatim = often.where(F.col("kind") == _VERBATIM).select("key", "docs")
+    frequent = members(often.where(F.col("kind") == _TOKEN).select("key", "docs"), hot)
+    lines = materialise(_line_templates(found.where(F.col("kind") == _LINE), frequent), "templates")
+    bounds = lines.groupBy("template").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"), F.count("*").alias("docs"))
+    bounds = materialise(bounds.where(F.col("most") >= min_docs).withColumnRenamed("template", "key"), "bounds")
+    sure = members(bounds.where(F.col("least") >= min_docs).select("key", "docs"), hot)
+    out = within(lines, "template", sure).select(F.col("line").alias("key"), "docs").unionByName(verbatim)
+    open_ = members(bounds.where(F.col("least") < min_docs).select("key", "docs"), hot)
+    if len(open_.hot):
+        asked = materialise(within(lines, "template", open_), "open")
+        each = _rows_with(parsed, bit_table(asked.select("line"), "line"))
+        each = each.join(asked.select("line", "template"), "line").select("row", "template").distinct()
+        certain = each.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+        certain = members(materialise(certain.withColumnRenamed("template", "key"), "certain"), hot)
+        out = out.unionByName(within(asked, "template", certain).select(F.col("line").alias("key"), "docs"))
+    return materialise(out.groupBy("key").agg(F.max("docs").alias("docs")), "recurring")
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, hot: int = HOT) -> DataFrame:
+    """Per row of ``docs``: doc_id, text without recurring lines, n_lines, n_dropped.
+
+    Lines end at a newline; lines without tokens are kept. A null text is
+    empty (one line); repeated rows count as documents of their own, a line
+    that repeats in a document counts once. Other columns are not read.
+    ``hot`` bounds what is broadcast and has no say in the result.
+    """
+    parsed = parse_lines(docs)
+    drop = members(recurring_lines(parsed, min_docs, hot), hot)
+    common, bits = drop.broadcast(parsed.sparkSession)
+
+    def split(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Which lines go for sure, and which may."""
+        lines, raws = (np.frombuffer(x, "<i8") for x in row)
+        own, there = lines ^ raws, lines != 0
+        sure = (among(common.value, lines) | among(common.value, own)) & there
+        if bits is None:
+            return sure, np.zeros(0, dtype=np.int64)
+        both = np.unique(np.concatenate([lines[there & ~sure], own[there & ~sure]]))
+        return sure, both[in_table(bits.value, both)]
+
+    rows = parsed
+    if drop.rest is not None:
+
+        def maybe():
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                own = [split(x)[1] for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                numbers = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+                return record_batch(row=pa.array(numbers), key=pa.array(np.concatenate(own)))
+
+            return step
+
+        each = map_batches(parsed.select("row", "lines", "raws"), maybe, "row bigint, key bigint")
+        each = each.join(drop.rest.select("key"), "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("more"))
+        rows = parsed.join(materialise(each, "more"), "row", "left")
+    else:
+        rows = rows.withColumn("more", F.lit(None).cast("array<bigint>"))
 
     def clean():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, dropped = [], []
-            for text, drop in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                if not drop:
-                    texts.append(text)
-                    dropped.append(0)
-                    continue
-                gone = set(drop)
-                lines = text.split(b"\n")
-                kept = [x for x in lines if not (t := masked_tokens(x)) or line_hash(t) not in gone]
-                texts.append(b"\n".join(kept))
-                dropped.append(len(lines) - len(kept))
+            texts, n_lines, dropped = [], [], []
+            for text, lines, raws, more in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                gone = split((lines, raws))[0]
+                if more:
+                    keys = np.frombuffer(lines, "<i8")
+                    gone |= (np.isin(keys, more) | np.isin(keys ^ np.frombuffer(raws, "<i8"), more)) & (keys != 0)
+                if gone.any():
+                    text = b"\n".join(x for x, g in zip(text.split(b"\n"), gone.tolist()) if not g)
+                texts.append(text)
+                n_lines.append(len(gone))
+                dropped.append(int(gone.sum()))
             return record_batch(
                 doc_id=batch.column(0),
                 text=pa.array([t.decode("utf-8", "replace") for t in texts], type=pa.string()),
-                n_lines=batch.column(2),
+                n_lines=pa.array(n_lines, type=pa.int64()),
                 n_dropped=pa.array(dropped, type=pa.int64()),
             )
 
         return step
 
-    return map_batches(both, clean, "doc_id bigint, text string, n_lines bigint, n_dropped bigint")
+    return map_batches(rows.select("doc_id", "text", "lines", "raws", "more"), clean, "doc_id bigint, text string, n_lines bigint, n_dropped bigint")

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from lineagrid.llm import (
     block_naming,
     chat,
+    common,
     components,
     cutting_stock,
     hyperminhash,
@@ -337,6 +338,20 @@ def collide(column):
     return F.substring(F.unhex(F.md5(column)), 1, 0)
 
 
+def test_names_are_ranks(spark):
+    """The same names whatever the number of partitions; equal keys of most rows do not change them."""
+    values = [(k * 7919 % 1000,) for k in range(500)]
+    found = []
+    for parts in ("4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            named = block_naming.name_values(spark.createDataFrame(values, "v bigint").repartition(int(parts)), ["v"])
+            found.append({r["v"]: r["name"] for r in named.collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == {v: k for k, (v,) in enumerate(sorted(values))}
+
+
 @pytest.mark.parametrize("block, digest", [(2048, block_naming.digest_of), (3, block_naming.digest_of), (64, collide)])
 def test_exact_groups(docs, empty, block, digest):
     norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", plain(t))
@@ -440,6 +455,9 @@ def test_near_groups(spark, docs, empty, chunk, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             near[rng.randint(0, 99)] = f"e{rng.randint(0, 10**6)}"
         rows.append((1000 + k, " ".join(near)))
+    for k in range(160):  # short texts, of which many are linked by a few shingles only
+        first = rng.randint(0, 60)
+        rows.append((2000 + k, " ".join([f"s{w}" for w in range(first, first + rng.randint(4, 14))] + [f"t{k}"] * rng.randint(0, 1))))
     table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     expected = brute_components(rows)
     for r in hyperminhash.near_groups(table).collect():
@@ -452,6 +470,46 @@ def test_near_groups(spark, docs, empty, chunk, monkeypatch):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (c, _) in expected.items() if c == d)
 
 
+def test_short_sets_always_meet(spark):
+    """Where bands miss a pair of short sets, their rarest shingles bring it together."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        own = [f"v{rng.randint(0, 10**7)}" for _ in range(rng.randint(8, 30))]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own, "end"]))]
+    described = hyperminhash.describe(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumnRenamed("doc_id", "rep")
+    pairs = hyperminhash._rare_shingles(described).groupBy("bucket").agg(F.sort_array(F.collect_set("rep")).alias("reps")).collect()
+    met = {tuple(r["reps"]) for r in pairs}
+    assert {m for m in met if len(m) > 1} == {(2 * k, 2 * k + 1) for k in range(150)}
+
+
+def test_blocks_of_a_hot_bucket(spark):
+    """Each pair of different components meets once, and a large component does not meet itself."""
+    rows = [(7, 0, k, 1, 0) for k in range(40)] + [(7, 0, 100 + k, 1, 100 + k % 3) for k in range(9)] + [(8, 1, k, 3, k) for k in range(6)]
+    table = spark.createDataFrame(rows, "bucket bigint, band tinyint, rep bigint, weight int, component bigint")
+    blocks = {}
+    for r in hyperminhash.dealt_to_blocks(table, 5).collect():
+        blocks.setdefault((r["bucket"], r["i"], r["j"]), []).append(r)
+    met = []
+    for (b, i, j), own in blocks.items():
+        for x, y in itertools.combinations(sorted(own, key=lambda r: r["rep"]), 2):
+            if (x["own"] != y["own"] or i == j) and x["component"] != y["component"]:
+                met.append((b, x["rep"], y["rep"]))
+    expected = [(x[0], x[2], y[2]) for x, y in itertools.combinations(sorted(rows), 2) if x[0] == y[0] and x[4] != y[4]]
+    assert sorted(met) == sorted(expected)
+    assert sum(len(own) for (b, i, j), own in blocks.items() if b == 7) < 40 * 10 and not any(j < 0 for _, i, j in blocks)
+
+
+def test_hot_joins(spark):
+    rows = spark.createDataFrame([(0, k) for k in range(50)] + [(k % 7, k) for k in range(50, 90)] + [(None, 1), (99, 1)], "key bigint, x bigint")
+    groups = rows.where("key < 90").groupBy("key").agg(F.count("*").alias("n"))
+    plain = sorted(tuple(r) for r in rows.join(groups, "key").collect())
+    for limit in (1, 3, 100):
+        assert sorted(tuple(r) for r in common.join_hot(rows, groups, ["key"], "n", limit).collect()) == plain
+        found = common.join_salted(rows, groups, "key", rows=4, limit=limit).select("key", "x", "n").collect()
+        assert sorted(tuple(r) for r in found) == plain
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(3)
     found = []
@@ -499,20 +557,81 @@ def test_recurring_templates_are_dropped(spark, docs, empty):
     assert log_templates.drop_recurring_lines(empty).count() == 0
 
 
-def test_hot_leaves_are_split(spark):
-    rows = [(k, f"same start here {k % 7} tail{k} more{k}") for k in range(60)] + [(k + 100, "same start here x fixed words") for k in range(20)]
-    found = log_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=4).collect()
-    assert {r["n_dropped"] for r in found if r["doc_id"] >= 100} == {1}
-
-
-@pytest.mark.parametrize("limit", [log_templates.LEAF_LINES, 50, 7])
-def test_parts_of_a_leaf_are_merged(spark, limit):
+def brute_line_drops(texts, min_docs=10):
+    """Per text, the numbers of the lines that go, by the rule itself: counts over everything in plain dictionaries."""
+    mask = lambda w: "<*>" if re.search("[0-9]", w) else w
+    split = [[line.split() for line in re.split("\n", t)] for t in texts]
+    leaf = lambda m: (len(m), *m[:3])
+    places, own = {}, {}
+    for d, lines in enumerate(split):
+        for raw in filter(None, lines):
+            m = [mask(w) for w in raw]
+            for i, w in enumerate(m[3:], 3):
+                places.setdefault((leaf(m), i, w), set()).add(d)
+            own.setdefault(("verbatim", *raw), set()).add(d)
+    stays = lambda m, i: i < 3 or len(places[leaf(m), i, m[i]]) >= min_docs
+
+    def templates(m):
+        made = [w if w != "<*>" and stays(m, i) else "<*>" for i, w in enumerate(m)]
+        for more in [None, *(i for i in range(3, len(m)) if made[i] != "<*>")]:
+            t = [("<*>" if i == more else w) for i, w in enumerate(made)]
+            lost = sum(a != b for a, b in zip(t, m))
+            if lost <= 0.3 * len(m) + 1e-9 and sum(w != "<*>" for w in t) >= len(m) / 2:
+                yield tuple(t)
+
+    for d, lines in enumerate(split):
+        for raw in filter(None, lines):
+            for t in templates([mask(w) for w in raw]):
+                own.setdefault(t, set()).add(d)
+    goes = lambda raw: any(len(own[k]) >= min_docs for k in [("verbatim", *raw), *templates([mask(w) for w in raw])])
+    return [[k for k, raw in enumerate(lines) if raw and goes(raw)] for lines in split]
+
+
+def line_rows():
+    rng = random.Random(11)
     letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
-    rows = [(3 * k + i, f"own{k}x{i}\nPosted by user {letters(k)} in the general forum today") for k in range(200) for i in range(3)]
-    rows += [(1000 + k, f"Posted by user {'abcdefghi'[k]} {' '.join(letters(k * 7 + j) for j in range(5))}") for k in range(9)]
-    found = log_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=limit).collect()
-    assert {r["n_dropped"] for r in found if r["doc_id"] < 1000} == {1}
-    assert {r["n_dropped"] for r in found if r["doc_id"] >= 1000} == {0}
+    rows = []
+    for k in range(260):
+        lines = [" ".join(letters(rng.randint(0, 17000)) for _ in range(7))]
+        if k % 2:
+            lines.append(f"Posted by user {letters(k)} in the general forum today")
+        if k % 3 == 0:
+            lines += [f"the song of {rng.choice('rain snow wind fire dust salt'.split())} is {rng.choice(['long', 'short'])} and sad"] * 2
+        if k % 5 == 0:
+            lines.append(f"Tel 555 1234 {5678 if k % 2 else k}")
+        if k % 7 == 0:
+            lines.append(f"a b c {letters(k)} {letters(k + 1)} {letters(k + 2)} d e")
+        if k % 11 == 0:
+            lines += ["one line of everyone", "", "  \t", "x1 y2 z3"]
+        if k % 13 == 0:
+            lines.append("it reads by place: " + " ".join(rng.choice(["p", "q"]) + rng.choice(["r", "s"]) for _ in range(6)))
+        rng.shuffle(lines)
+        rows.append((k, "\n".join(lines)))
+    rows.append((1000, "\n".join(f"only here the {letters(k)} of one document recurs" for k in range(40))))
+    rows.append((1001, " ".join(letters(k) for k in range(30000))))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [log_templates.HOT, 3])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_lines_go_by_the_rule(spark, hot, parts):
+    rows = line_rows()
+    expected = brute_line_drops([t for _, t in rows])
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    found = {r["doc_id"]: r for r in log_templates.drop_recurring_lines(table, hot=hot).collect()}
+    for (d, t), gone in zip(rows, expected):
+        lines = t.split("\n")
+        assert found[d]["text"] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        assert (found[d]["n_lines"], found[d]["n_dropped"]) == (len(lines), len(gone))
+    assert not expected[-2] and not expected[-1] and sum(map(bool, expected)) > 130
+
+
+def test_lines_of_a_hot_leaf(spark):
+    """As many lines of one leaf as there are documents: one template, whatever the number of its values."""
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    rows = [(k, f"own{k}\nPosted by user {letters(k)} in the general forum today") for k in range(20000)]
+    found = log_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert found.groupBy("n_dropped").count().collect() == [(1, 20000)]
 
 
 def test_templates_count_documents_not_lines(spark):
@@ -567,12 +686,13 @@ def test_token_output(docs, empty):
 # 10 BPE
 
 
-@pytest.mark.parametrize("block", [word_table.BLOCK_BYTES, 500])
-def test_words_are_encoded_and_decoded(docs, empty, block):
+@pytest.mark.parametrize("block, words", [(word_table.BLOCK_BYTES, word_table.TABLE_WORDS), (500, 5)])
+def test_words_are_encoded_and_decoded(docs, empty, block, words, monkeypatch):
+    monkeypatch.setattr(word_table.encode_words, "__defaults__", (words,))
     tokenizer = Tokenizer.from_file(WORD)
     encoded = word_table.encode(docs, WORD, block)
     expected = sorted(((d, tuple(tokenizer.encode(plain(t), add_special_tokens=False).ids)) for d, t, *_ in awkward()), key=str)
-    assert sorted(((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in encoded.collect()), key=str) == expected
+    assert sorted(((r["doc_id"], tuple(r["ids"])) for r in encoded.collect()), key=str) == expected
     texts = word_table.decode(encoded, WORD)
     assert sorted(((r["doc_id"], r["text"]) for r in texts.collect()), key=str) == sorted(
         ((d, tokenizer.decode(list(i), skip_special_tokens=False)) for d, i in expected), key=str
@@ -581,11 +701,13 @@ def test_words_are_encoded_and_decoded(docs, empty, block):
 
 
 def test_byte_pieces_decode(spark):
+    """Documents that go on over several Arrow batches, and empty ones between them."""
     tokenizer = Tokenizer.from_file(BYTE)
-    table = word_table.PieceTable(BYTE)
-    for _, text, *_ in awkward():
-        ids = tokenizer.encode(plain(text), add_special_tokens=False).ids
-        assert table.decode(np.array(ids, dtype=np.int64)) == tokenizer.decode(ids, skip_special_tokens=False)
+    rows = [(k, tokenizer.encode(plain(t), add_special_tokens=False).ids) for k, (_, t, *_) in enumerate(awkward())]
+    rows.append((1000, [5, 6, 7] * 30000))
+    encoded = spark.createDataFrame(rows, "doc_id bigint, ids array<int>").repartition(2)
+    for r in word_table.decode(encoded, BYTE).collect():
+        assert r["text"] == tokenizer.decode(dict(rows)[r["doc_id"]], skip_special_tokens=False)
 
 
 def test_linear_systems():
