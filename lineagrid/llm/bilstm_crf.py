@@ -1,7 +1,7 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy.
 
 Windows are rows of character classes. Training maximises the CRF likelihood
-with Adam; decoding is Viterbi. All arrays run over a batch of windows.
+with Adam; decoding is Viterbi, with posteriors by forward and backward sums. All arrays run over a batch of windows.
 """
 
 from __future__ import annotations
@@ -77,9 +77,35 @@ class Tagger:
         both = np.concatenate([self._run(x, "f", None), self._run(x, "b", None)], axis=2)
         return both @ self.p["out"] + self.p["out_b"]
 
-    def decode(self, chars: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window."""
+    def decode(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best tag sequence of each window, and the posterior of each tag's kind (1 where all tags are outside)."""
         scores = self.emissions(chars)
+        tags = self._best(scores)
+        sure = np.ones(tags.shape, dtype=np.float32)
+        found = np.flatnonzero(tags.any(axis=1))
+        if len(found):
+            shares = self._marginals(scores[:, found])
+            kinds = (np.arange(self.tags) + 1) // 2  # a tag that begins a span and the one that continues it
+            same = kinds[tags[found].T][:, :, None] == kinds[None, None, :]
+            sure[found] = (shares * same).sum(axis=2).T
+        return tags, sure
+
+    def _sums(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward sums, and the total, in logarithms."""
+        steps, move = len(scores), self.p["move"]
+        ahead, behind = np.empty_like(scores), np.zeros_like(scores)
+        ahead[0] = scores[0]
+        for t in range(1, steps):
+            ahead[t] = _logsum(ahead[t - 1][:, :, None] + move[None], 1) + scores[t]
+        for t in range(steps - 2, -1, -1):
+            behind[t] = _logsum(move[None] + (scores[t + 1] + behind[t + 1])[:, None, :], 2)
+        return ahead, behind, _logsum(ahead[-1], 1)
+
+    def _marginals(self, scores: np.ndarray) -> np.ndarray:
+        ahead, behind, total = self._sums(scores)
+        return np.exp(ahead + behind - total[None, :, None])
+
+    def _best(self, scores: np.ndarray) -> np.ndarray:
         steps, n, _ = scores.shape
         best = scores[0]
         back = np.zeros((steps, n, self.tags), dtype=np.uint8)
@@ -102,13 +128,7 @@ class Tagger:
         kept: dict[str, list] = {"f": [], "b": []}
         both = np.concatenate([self._run(x, way, kept[way]) for way in "fb"], axis=2)
         scores = both @ self.p["out"] + self.p["out_b"]
-        ahead, behind = np.empty_like(scores), np.zeros_like(scores)
-        ahead[0] = scores[0]
-        for t in range(1, steps):
-            ahead[t] = _logsum(ahead[t - 1][:, :, None] + move[None], 1) + scores[t]
-        for t in range(steps - 2, -1, -1):
-            behind[t] = _logsum(move[None] + (scores[t + 1] + behind[t + 1])[:, None, :], 2)
-        total = _logsum(ahead[-1], 1)
+        ahead, behind, total = self._sums(scores)
         g = {name: np.zeros_like(v) for name, v in self.p.items()}
         rows = np.arange(n)
         d_scores = np.exp(ahead + behind - total[None, :, None])

@@ -3,17 +3,20 @@
 Base spans follow fixed patterns and checks. The tagger is trained on windows
 around labelled spans: base spans in a bounded sample of the corpus, and made
 ones in other ways of writing (phones without a plus, e-mail with a written
-at-sign), among look-alikes that are no personal data. A span of any kind
-holds a digit or an at-sign, be it ``@``, ``[at]`` or ``(at)``, so only windows
-that reach one, or the rest of its address, are decoded; overlapping
+at-sign or dot), among look-alikes that are no personal data. What it is taught
+holds a digit, an at-sign (``@``, ``[at]``, ``(at)``) or a written dot, so only
+windows that reach one, or the rest of its address, are decoded; overlapping
 windows are reconciled by letting each character take its tag from the window
-that sees it most centrally.
+that sees it most centrally. The tagger decides: a span of whole words in which
+each character has a posterior of ``MIN_POSTERIOR`` stands.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,24 +25,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm_crf import Tagger, classes_of
-from .common import map_batches, record_batch
+from .common import bound_batches, map_batches, record_batch
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# Where a part can only match whole, it gives nothing back (++), so that each pattern takes linear time.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_AT = re.compile(r"@|\[at\]|\(at\)")
-#: Any of which every span holds.
+_AT = re.compile(r"@|\[at\]|\(at\)|[ \[(]dot[ \])]")
+#: Any of which stands in or beside every span, and what a span of each kind holds.
 _HINT = r"[0-9]|" + _AT.pattern
+_HELD = (re.compile(r"@|\[at\]|\(at\)| at "), *[_DIGIT] * 3)
 _BESIDE_AT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_EMAIL_CHARS = _BESIDE_AT | {"@"}
 
 #: Code points of a window and between the starts of windows.
 WINDOW, STRIDE = 64, 32
 #: Windows of the corpus that train the tagger at most, and made ones.
-SAMPLE_WINDOWS, MADE_WINDOWS = 1500, 1500
+SAMPLE_WINDOWS, MADE_WINDOWS = 1500, 2000
+#: The least posterior of a character's kind in a span that the tagger adds.
+MIN_POSTERIOR = 0.8
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -56,14 +62,14 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, by kind and start; failing matches are dropped without retries."""
     out: list[Span] = []
     at, done = text.find("@"), 0
-    while at >= 0:  # a match lies within a run of its characters, so only runs around an at-sign are searched
-        a, b = at, at + 1
-        while a > done and text[a - 1] in _EMAIL_CHARS:
+    while at >= 0:  # what stands before an at-sign belongs to no other one
+        a = at
+        while a > done and text[a - 1] in _BESIDE_AT:
             a -= 1
-        while b < len(text) and text[b] in _EMAIL_CHARS:
-            b += 1
-        out += [(0, m.start(), m.end()) for m in _EMAIL.finditer(text, a, b)]
-        done, at = b, text.find("@", b)
+        if a < at and (m := _DOMAIN.match(text, at + 1)):
+            out.append((0, a, m.end()))
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
         out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(_octet(x) for x in m[0].split("."))]
         for m in _CARD.finditer(text):
@@ -124,9 +130,10 @@ def _made_windows(n: int, seed: int) -> tuple[list[str], list[list[Span]]]:
     def one(kind: int) -> str:
         style = rng.random()
         if kind == 0:
-            at = "@" if style < 0.7 else (" [at] " if style < 0.85 else "(at)")
-            host = word() + (digits(1) if rng.random() < 0.5 else "") + ("." + word() if rng.random() < 0.5 else "")
-            return f"{word()}{'.' + digits(2) if rng.random() < 0.5 else ''}{at}{host}.{('com', 'org', 'net')[int(rng.integers(0, 3))]}"
+            at = "@" if style < 0.45 else (" [at] " if style < 0.57 else ("(at)" if style < 0.69 else " at "))
+            dot = " dot " if at == " at " else "."
+            host = word() + (digits(1) if rng.random() < 0.5 else "") + (dot + word() if rng.random() < 0.3 else "")
+            return f"{word()}{'.' + digits(2) if rng.random() < 0.5 else ''}{at}{host}{dot}{('com', 'org', 'net')[int(rng.integers(0, 3))]}"
         if kind == 1:
             return ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
         if kind == 2:
@@ -134,15 +141,15 @@ def _made_windows(n: int, seed: int) -> tuple[list[str], list[list[Span]]]:
             sep = "" if style < 0.6 else (" " if style < 0.8 else "-")
             return sep.join(c[i : i + 4] for i in (0, 4, 8, 12))
         a, b, c = digits(3), digits(3), digits(4)
-        forms = (f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+44 {digits(4)} {digits(6)}")
+        forms = (f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+44 {digits(4)} {digits(6)}", f"{a}.{b}.{c}")
         return forms[int(rng.integers(0, len(forms)))]
 
     def alike() -> str:
-        k = int(rng.integers(0, 9))
+        k = int(rng.integers(0, 12))
         return (
             f"version {digits(1)}.{digits(1)}", digits(4), f"{digits(2)}.{digits(2)}.{digits(4)}", digits(12), digits(20),
             f"AKIA{digits(3).replace('0', 'Q')}{word().upper()}{digits(4)}", f"password={digits(3)}{word()}{digits(5)}",
-            f"@{word()}", f"{digits(1)},{digits(3)},{digits(3)}",
+            f"@{word()}", f"{digits(1)},{digits(3)},{digits(3)}", f"{word()} at {word()}", "dot", f"20{digits(2)}-{digits(2)}-{digits(2)}",
         )[k]
 
     texts, spans = [], []
@@ -156,10 +163,11 @@ def _made_windows(n: int, seed: int) -> tuple[list[str], list[list[Span]]]:
                 own.append((kind, len(text), len(text) + len(piece)))
             else:
                 piece = alike() if r < 0.3 else word()
-            text += piece + (" " if rng.random() < 0.85 else (". " if rng.random() < 0.5 else "\n"))
+            text += piece + (" " if rng.random() < 0.8 else (". ", "\n", ", ", "; ", ") ")[int(rng.integers(0, 5))])
         cut = int(rng.integers(0, 20))
-        texts.append(text[cut : cut + WINDOW])
-        spans.append([(k, max(0, a - cut), min(WINDOW, b - cut)) for k, a, b in own if b > cut and a < cut + WINDOW])
+        end = cut + (WINDOW if rng.random() < 0.8 else int(rng.integers(8, WINDOW)))  # a text may end within a window
+        texts.append(text[cut:end])
+        spans.append([(k, max(0, a - cut), min(end, b) - cut) for k, a, b in own if b > cut and a < end])
     return texts, spans
 
 
@@ -191,86 +199,99 @@ class Finder:
         starts = [window_starts(t) for t in texts]
         added: list[list[Span]] = [[] for _ in texts]
         flat = [(i, a) for i, own in enumerate(starts) for a in own]
-        by_text: dict[int, list[tuple[int, np.ndarray]]] = {}
+        by_text: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for at in range(0, len(flat), 4096):
             group = flat[at : at + 4096]
-            tags = self.tagger.decode(np.stack([_padded(texts[i][a : a + WINDOW]) for i, a in group]))
-            for (i, a), row in zip(group, tags):
-                by_text.setdefault(i, []).append((a, row))
+            tags, sure = self.tagger.decode(np.stack([_padded(texts[i][a : a + WINDOW]) for i, a in group]))
+            for (i, a), row, own in zip(group, tags, sure):
+                by_text.setdefault(i, []).append((a, row, own))
         for i, held in by_text.items():
-            added[i] = _reconcile(texts[i], held)
-        return [(b, _fitting(t, b, extra)) for t, b, extra in zip(texts, base, added)]
-
-
-def _reconcile(text: str, windows: list[tuple[int, np.ndarray]]) -> list[Span]:
-    """One tag for each character, from the window in which it is most central; then runs as spans."""
-    tag: dict[int, tuple[int, int]] = {}
-    for start, row in windows:
-        for k in np.flatnonzero(row >= 0)[: max(0, len(text) - start)].tolist():
-            central = min(k + (WINDOW if start == 0 else 0), WINDOW - 1 - k)
-            if start + k not in tag or tag[start + k][0] < central:
-                tag[start + k] = (central, int(row[k]))
-    out: list[Span] = []
-    for at in sorted(tag):
-        t = tag[at][1]
-        if t == 0:
-            continue
-        kind = (t - 1) // 2
-        if t % 2 == 0 and out and out[-1][0] == kind and out[-1][2] == at:
-            out[-1] = (kind, out[-1][1], at + 1)
+            if any(row.any() for _, row, _ in held):
+                added[i] = _fitting(texts[i], base[i], _reconcile(texts[i], held))
+        return list(zip(base, added))
+
+
+def _reconcile(text: str, windows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, float]]:
+    """One tag for each character, from the window in which it is most central; then runs as spans with their least posterior."""
+    out: list[tuple[int, int, int, float]] = []
+    starts = [a for a, _, _ in windows]
+    size = WINDOW + max(starts)
+    tag, central, share = np.zeros(size, np.uint8), np.full(size, -1), np.zeros(size, np.float32)
+    inside = np.arange(WINDOW)
+    for start, row, sure in windows:
+        depth = np.minimum(inside + (WINDOW if start == 0 else 0), WINDOW - 1 - inside)
+        better = np.flatnonzero(depth > central[start : start + WINDOW])
+        central[start + better], tag[start + better], share[start + better] = depth[better], row[better], sure[better]
+    for at in np.flatnonzero(tag[: len(text)]).tolist():
+        kind, sure = (int(tag[at]) - 1) // 2, float(share[at])
+        if tag[at] % 2 == 0 and out and out[-1][0] == kind and out[-1][2] == at:
+            out[-1] = (kind, out[-1][1], at + 1, min(out[-1][3], sure))
         else:
-            out.append((kind, at, at + 1))
+            out.append((kind, at, at + 1, sure))
     return out
 
 
-_SHAPES = (
-    re.compile(r"[A-Za-z0-9._%+-]+ ?(@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}"),
-    re.compile(r"[0-9]{4}([ -]?[0-9]{4}){3}"),
-    re.compile(r"(\+[0-9]{1,3} ?)?(\([0-9]{3}\) ?|[0-9]{3,4}[ -])[0-9]{3}[ -]?[0-9]{3,4}"),
-)
-
+def _fitting(text: str, base: list[Span], found: list[tuple[int, int, int, float]]) -> list[Span]:
+    """The tagger's spans of whole words that it is sure of and that touch no base span.
 
-def _fitting(text: str, base: list[Span], found: list[Span]) -> list[Span]:
-    """Added spans of a whole plausible shape that touch no base span or each other."""
+    An e-mail address without an at-sign, any other span without a digit and a
+    card with a wrong check digit are none.
+    """
     taken = sorted((a, b) for _, a, b in base)
+    starts, reach, furthest = [a for a, _ in taken], [], 0
+    for _, b in taken:
+        furthest = max(furthest, b)
+        reach.append(furthest)
     out: list[Span] = []
-    for kind, a, b in sorted(set(found), key=lambda s: (s[1], s[2])):
-        while b > a and text[b - 1] in " .,\n":
+    for kind, a, b, sure in found:
+        while b > a and text[b - 1] in " .,;:!?\n":
             b -= 1
-        beside = (a > 0 and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
-        if b <= a or beside or not _SHAPES[kind].fullmatch(text[a:b]) or any(a < y and x < b for x, y in taken):
+        while a < b and text[a] in " .,;:!?\n":
+            a += 1
+        cut = (a > 0 and text[a - 1].isalnum() and text[a : a + 1].isalnum()) or (b < len(text) and text[b].isalnum() and text[b - 1 : b].isalnum())
+        k = bisect_left(starts, b)  # base spans that begin before this one ends
+        if b <= a or sure < MIN_POSTERIOR or cut or (k and reach[k - 1] > a) or not _HELD[kind].search(text, a, b):
             continue
-        if kind == 2 and not luhn(re.sub("[ -]", "", text[a:b])):
+        if kind == KINDS.index("card") and not luhn("".join(_DIGIT.findall(text[a:b]))):
             continue
-        taken.append((a, b))
         out.append((kind, a, b))
     return out
 
 
 def train(docs: DataFrame, windows: int = SAMPLE_WINDOWS, made: int = MADE_WINDOWS) -> Finder:
-    """Train on a bounded sample of windows around digits and at-signs, labelled by the base patterns, and made ones."""
+    """Train on a bounded sample of windows around digits and at-signs, labelled by the base patterns, and made ones.
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, tags, order = [], [], []
+    The sample is the ``windows`` of the smallest hashes; a task hands on no
+    more than that many. It does not depend on how rows are dealt.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[str, bytes]] = {}  # of this task, cut back to the smallest ranks as it grows
+        limit = 1 << 56
+        for batch in batches:
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
+                spans = None
                 for a in window_starts(text):
-                    own = [(k, max(0, x - a), min(WINDOW, y - a)) for k, x, y in spans if y > a and x < a + WINDOW]
                     piece = text[a : a + WINDOW]
-                    texts.append(piece)
-                    tags.append(_tags(own).astype("u1").tobytes())
                     rank = int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
-                    order.append(rank)
-            return record_batch(
-                text=pa.array(texts, type=pa.string()), tags=pa.array(tags, type=pa.binary()), rank=pa.array(order, type=pa.int64())
-            )
-
-        return step
-
+                    if rank >= limit or rank in best:
+                        continue
+                    spans = base_spans(text) if spans is None else spans
+                    own = [(k, max(0, x - a), min(WINDOW, y - a)) for k, x, y in spans if y > a and x < a + WINDOW]
+                    best[rank] = (piece, _tags(own).astype("u1").tobytes())
+                    if len(best) >= 2 * windows + 2:
+                        kept = sorted(best)[: windows + 1]
+                        best, limit = {r: best[r] for r in kept[:-1]}, kept[-1]
+        ranks = sorted(best)[:windows]
+        yield record_batch(
+            text=pa.array([best[r][0] for r in ranks], type=pa.string()),
+            tags=pa.array([best[r][1] for r in ranks], type=pa.binary()),
+            rank=pa.array(ranks, type=pa.int64()),
+        )
+
+    bound_batches(docs.sparkSession)
     hinted = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(_HINT))
-    found = map_batches(hinted, make, "text string, tags binary, rank bigint").dropDuplicates(["rank"])
+    found = hinted.mapInArrow(run, "text string, tags binary, rank bigint").dropDuplicates(["rank"])
     rows = found.orderBy("rank", "text").limit(windows).collect()
     texts, spans = _made_windows(made, seed=5)
     chars = np.stack([_padded(t) for t in texts] + [_padded(r["text"]) for r in rows])
