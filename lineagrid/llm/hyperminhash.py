@@ -6,10 +6,14 @@ bucket's least hash as a leading-zero count and ``MANTISSA`` bits after the
 leading one: a 16-bit register. Bands of ``ROWS`` registers are the keys by
 which candidates meet.
 
+Sets of few shingles fill few registers, so bands may miss them: they also meet
+by their rarest shingles, of which two linked sets must share one.
+
 Links are not listed pair by pair. Documents with equal sets are one class.
-Star rounds test each class against one other of its band buckets and merge
-components; then only buckets that still hold several components are compared
-in full, in blocks of bounded size, between different components. A pair is
+Star rounds test each class against one other of its buckets and merge
+components; then only buckets that still hold several components are compared,
+between different components, in blocks of bounded size: first by sketches
+alone, then with the texts of those classes that have a candidate. A pair is
 confirmed on full sets if its collision-corrected estimate allows.
 """
 
@@ -25,7 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, bound_batches, fresh, map_batches, materialise, record_batch, text_bytes, where_in_table
+from .common import (
+    bit_table,
+    bound_batches,
+    fresh,
+    join_hot,
+    join_salted,
+    map_batches,
+    materialise,
+    record_batch,
+    text_bytes,
+    where_in_table,
+)
 from .components import components
 
 SHINGLE = 5
@@ -33,11 +48,14 @@ SHINGLE = 5
 THRESHOLD = 75
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
-#: Estimates this many standard deviations under the threshold are not confirmed.
-SLACK = 4.5
+#: Estimates this many standard deviations under the threshold are not confirmed (a chance of one in a billion).
+SLACK = 6.0
+#: A link whose smaller set has at most this many shingles is found for certain: no estimate, and a way beside the bands.
+SMALL = 32
+_SHORT = 100 * SMALL // THRESHOLD  # the largest set that such a set can be linked with
 STAR_ROUNDS = 2
-#: Classes of one side of a comparison of a bucket's blocks.
-CHUNK = 1500
+#: Weight of the classes of one side of a comparison of a bucket's blocks: a class weighs 1 and 1 more for each so many shingles.
+CHUNK, WEIGHED = 1500, 500
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SALT = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -112,9 +130,9 @@ def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     chance = collision_rate(n_a, n_b)
     used = np.maximum(1, either)
     found = np.clip((equal / used - chance) / (1 - chance), 0.0, 1.0)
-    t = THRESHOLD / 100
-    sizes = 100 * np.minimum(n_a, n_b) >= THRESHOLD * np.maximum(n_a, n_b)
-    return found, sizes & (found >= t - SLACK * np.sqrt(t * (1 - t) / used))
+    t, least = THRESHOLD / 100, np.minimum(n_a, n_b)
+    sizes = 100 * least >= THRESHOLD * np.maximum(n_a, n_b)
+    return found, sizes & ((least <= SMALL) | (found >= t - SLACK * np.sqrt(t * (1 - t) / used)))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -126,7 +144,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, digest, sketch``; digests are equal exactly when sets are."""
+    """``doc_id, n_shingles, digest, sketch, few``; digests are equal exactly when sets are, ``few`` holds short sets."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -134,23 +152,48 @@ def describe(docs: DataFrame) -> DataFrame:
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             n = pa.array([len(s) for s in sets], type=pa.int64())
             made = pa.array([sketch(s).tobytes() for s in sets], type=pa.binary())
-            return record_batch(doc_id=batch.column(0), n_shingles=n, digest=pa.array(digests, type=pa.binary()), sketch=made)
+            few = pa.array([s.view(np.int64).tolist() if 0 < len(s) <= _SHORT else None for s in sets], type=pa.list_(pa.int64()))
+            return record_batch(doc_id=batch.column(0), n_shingles=n, digest=pa.array(digests, type=pa.binary()), sketch=made, few=few)
 
         return step
 
     rows = docs.select(F.col("doc_id").cast("bigint"), text_bytes())
-    return map_batches(rows, make, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
+    return map_batches(rows, make, "doc_id bigint, n_shingles bigint, digest binary, sketch binary, few array<bigint>")
+
+
+def _shared(rows: DataFrame, of: str) -> DataFrame:
+    """``bucket, n`` of the buckets in which rows differ in ``of``."""
+    found = rows.groupBy("bucket").agg(F.min(of).alias("least"), F.max(of).alias("most"), F.count("*").alias("n"))
+    return found.where("least != most").select("bucket", "n")
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """``bucket, band, rep`` of classes that share a band with another; empty bands do not count."""
-    rows = classes.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    """``bucket, band, rep, weight`` of classes that share a bucket with another, written once; empty bands do not count.
+
+    Band -1 is that of short sets: of their shingles, ordered from rare to
+    common among short sets, so many come first that linked sets must share one.
+    """
+    weight = (1 + F.col("n_shingles") / WEIGHED).cast("int").alias("weight")
+    rows = classes.select("rep", weight, "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     key = F.expr(f"substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS})")
-    rows = rows.select("rep", "band", key.alias("key")).where(F.col("key") != F.lit(bytes(2 * ROWS)))
-    rows = rows.select(F.xxhash64("band", "key").alias("bucket"), F.col("band").cast("tinyint"), "rep").distinct()
-    same = Window.partitionBy("bucket")
-    rows = rows.withColumn("least", F.min("rep").over(same)).withColumn("most", F.max("rep").over(same))
-    return rows.where("least != most").select("bucket", "band", "rep")
+    rows = rows.select("rep", "weight", "band", key.alias("key")).where(F.col("key") != F.lit(bytes(2 * ROWS)))
+    rows = rows.select(F.xxhash64("band", "key").alias("bucket"), F.col("band").cast("tinyint").alias("band"), "rep", "weight")
+    rows = rows.unionByName(_rare_shingles(classes).withColumn("weight", F.lit(1)))
+    shared = materialise(_shared(rows, "rep"), "shared")
+    rows = materialise(where_in_table(rows, F.col("bucket"), bit_table(shared, "bucket")), "likely")
+    return materialise(join_hot(rows, shared, ["bucket"], "n").select("bucket", "band", "rep", "weight").distinct(), "buckets")
+
+
+def _rare_shingles(classes: DataFrame) -> DataFrame:
+    short = classes.where("few is not null").select("rep", "n_shingles", F.explode("few").alias("shingle"))
+    short = materialise(short, "short")
+    uses = materialise(short.groupBy("shingle").agg(F.count("*").alias("uses")), "uses")
+    ranked = join_hot(short, uses, ["shingle"], "uses").groupBy("rep", "n_shingles")
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("uses", "shingle"))).alias("ranked"))  # at most _SHORT a set
+    must = F.ceil(F.col("n_shingles") * THRESHOLD / F.lit(100.0)).cast("int")
+    first = F.slice("ranked", F.lit(1), F.col("n_shingles").cast("int") - must + 1)
+    rows = ranked.select("rep", F.explode(F.filter(first, lambda x: x["uses"] > 1)["shingle"]).alias("shingle"))
+    return rows.select(F.xxhash64(F.lit(-1), "shingle").alias("bucket"), F.lit(-1).cast("tinyint").alias("band"), "rep")
 
 
 def active_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -165,9 +208,9 @@ def active_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b, estimate`` of the pairs that must be confirmed."""
+    """``a, b, estimate`` of the ``pairs`` (a written table; many may share ``a``) that must be confirmed."""
     side = [classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab"]
-    joined = pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "s_a", "s_b", "n_a", "n_b")
+    joined = join_salted(pairs, side[0], "a").join(side[1], "b").select("a", "b", "s_a", "s_b", "n_a", "n_b")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -183,9 +226,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``a, b`` whose full sets reach the threshold."""
-    joined = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
-    joined = joined.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b")
+    """Those of ``pairs(a, b)``, a written table, whose full sets reach the threshold; many may share ``a``."""
+    by_a = texts.select(F.col("id").alias("a"), F.col("text").alias("t_a"))
+    by_b = texts.select(F.col("id").alias("b"), F.col("text").alias("t_b"))
+    joined = join_salted(pairs.select("a", "b"), by_a, "a").join(by_b, "b")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -204,36 +248,124 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components."""
-    same = Window.partitionBy("bucket")
-    rows = rows.withColumn("_l", F.min("component").over(same)).withColumn("_m", F.max("component").over(same))
-    return rows.where("_l != _m").drop("_l", "_m")
+    """Rows of buckets that hold several components; ``rows`` is a written table, and so is the result."""
+    shared = materialise(_shared(rows, "component"), "shared")
+    return materialise(join_hot(rows, shared, ["bucket"], "n").drop("n"), "mixed")
 
 
 def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: each class of a bucket with one of another component, chosen anew each turn."""
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("component", F.lit(turn)) if turn else "rep", "rep")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("hub", F.first("rep").over(whole)).withColumn("hub_component", F.first("component").over(whole))
-    rows = rows.where(F.col("component") != F.col("hub_component"))
-    return rows.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    """``a, b``: each class of a bucket with one of another component, chosen anew each turn; written once."""
+    order = F.xxhash64("component", F.lit(turn)) if turn else F.col("rep")
+    hub = F.min(F.struct(order.alias("order"), "rep", "component")).alias("hub")
+    hubs = materialise(rows.groupBy("bucket").agg(hub, F.count("*").alias("n")), "hubs")
+    rows = join_hot(rows, hubs, ["bucket"], "n").where(F.col("component") != F.col("hub.component"))
+    hub = F.col("hub.rep")
+    return materialise(rows.select(F.least(hub, "rep").alias("a"), F.greatest(hub, "rep").alias("b")).distinct(), "pairs")
+
+
+def dealt_to_blocks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``bucket, i, j, own, band, rep, component``: rows of a bucket, a written table, as pairs of chunks to be compared.
+
+    The largest component of a bucket is dealt to chunks ``-1, -2, ...``, the
+    others to ``0, 1, ...``. Chunks of others meet each other and themselves,
+    those of the largest component only chunks of others: the work on a bucket
+    grows with the classes outside its largest component.
+    """
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    largest = F.max(F.struct("w", "component")).alias("main")
+    sizes = materialise(sizes.groupBy("bucket").agg(largest, F.sum("n").alias("n"), F.sum("w").alias("w")), "sizes")
+    rows = join_hot(rows, sizes, ["bucket"], "n")
+    chunks = lambda w: F.ceil(w / F.lit(float(chunk))).cast("int")
+    mains, others = chunks(F.col("main.w")), chunks(F.col("w") - F.col("main.w"))
+    is_main = F.col("component") == F.col("main.component")
+    place = F.when(is_main, -1 - F.pmod(F.xxhash64("rep"), mains)).otherwise(F.pmod(F.xxhash64("rep"), others)).cast("int")
+    meets = F.when(is_main, F.sequence(F.lit(0), others - 1)).otherwise(F.sequence(-mains, others - 1))
+    rows = rows.select("bucket", "band", "rep", "component", place.alias("own"), F.explode(meets).alias("other"))
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "rep", "component")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+
+
+def with_candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``dealt_to_blocks`` that have a candidate in their block, by sketches alone."""
+    columns = rows.columns
+    made = rows.join(classes.select("rep", "sketch", "n_shingles"), "rep").select(*columns, "sketch", "n_shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None  # the last block of a batch may go on in the next one
+        for batch in batches:
+            whole = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks().to_batches()[0]
+            ends = _block_ends(whole)
+            last = ends[-2] if len(ends) > 1 else 0
+            kept = whole.slice(last)
+            if last:
+                yield from _candidates(whole.slice(0, last), ends[:-1])
+        if kept is not None and kept.num_rows:
+            yield from _candidates(kept, np.array([kept.num_rows]))
+
+    bound_batches(rows.sparkSession)
+    schema = "bucket bigint, i int, j int, own int, band tinyint, rep bigint, component bigint"
+    return _in_blocks(made).mapInArrow(run, schema)
+
+
+def _block_ends(batch: pa.RecordBatch) -> np.ndarray:
+    keys = [batch.column(k).to_numpy() for k in range(3)]
+    changes = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+    return np.append(changes, batch.num_rows)
+
+
+#: Pairs of sketches that are compared at a time.
+_PAIRS = 20_000
+
+
+def _candidates(batch: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of whole blocks that end at ``ends`` and have a candidate."""
+    i, j, own, band, _, label = (batch.column(k).to_numpy() for k in range(1, 7))
+    registers = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u2").reshape(-1, REGISTERS)
+    sizes = batch.column(8).to_numpy()
+    keys = registers.view("<u8").reshape(len(registers), BANDS)
+    found = np.zeros(batch.num_rows, dtype=bool)
+    lengths = np.diff(ends, prepend=0)
+    for length in np.unique(lengths).tolist():
+        starts = (ends - lengths)[lengths == length]
+        x, y = np.triu_indices(length, 1)
+        group = max(1, _PAIRS // max(1, len(x)))
+        for at in range(0, len(starts), group):
+            own_starts = starts[at : at + group, None]
+            a, b = (own_starts + x).ravel(), (own_starts + y).ravel()
+            for k in range(0, len(a), 50 * _PAIRS):
+                p, q = a[k : k + 50 * _PAIRS], b[k : k + 50 * _PAIRS]
+                use = (label[p] != label[q]) & ((own[p] != own[q]) | (i[p] == j[p]))
+                p, q = p[use], q[use]
+                for m in range(0, len(p), _PAIRS):
+                    u, v = p[m : m + _PAIRS], q[m : m + _PAIRS]
+                    first = _first_common(keys[u], keys[v]) == band[u]
+                    u, v = u[first], v[first]
+                    keep = may_link(registers[u], registers[v], sizes[u], sizes[v])[1]
+                    found[u[keep]] = found[v[keep]] = True
+    if found.any():
+        out = batch.filter(pa.array(found))
+        yield pa.RecordBatch.from_arrays(out.columns[:7], names=out.schema.names[:7])
+
+
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band that rows of band keys share, -1 if none: the one bucket in which a pair is compared."""
+    common = (a == b) & (a != 0)
+    return np.where(common.any(axis=1), common.argmax(axis=1), -1)
 
 
 def compare_blocks(rows: DataFrame, classes: DataFrame, texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Links between different components within each bucket, confirmed on full sets.
+    """Links between different components within each bucket of ``rows``, a written table, confirmed on full sets.
 
-    A bucket is cut into chunks by a hash; each task compares two chunks, so
-    its memory is bounded however many classes share the bucket. A pair is
-    compared in its first common band only, and a comparison returns only links
-    that join components anew.
+    Each task compares two chunks of a bucket, so its memory is bounded however
+    many classes share the bucket. A pair is compared in its first common
+    bucket only, and a comparison returns only links that join components anew.
     """
-    chunks = F.ceil(F.count("*").over(Window.partitionBy("bucket")) / chunk).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = rows.select("bucket", "band", "rep", "component", "own", other.alias("other"))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    likely = materialise(with_candidates(dealt_to_blocks(rows, chunk), classes), "likely").distinct()
     made = classes.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "sketch", "n_shingles", "text")
-    rows = rows.join(made, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    rows = _in_blocks(likely.join(made, "rep"))
     rows = rows.select("bucket", "i", "j", "own", "band", "rep", "component", "sketch", "n_shingles", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +380,6 @@ def compare_blocks(rows: DataFrame, classes: DataFrame, texts: DataFrame, chunk:
         if held:
             yield from _compare(held)
 
-    bound_batches(rows.sparkSession)
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -261,7 +392,6 @@ def _compare(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     keys = registers.view("<u8").reshape(len(held), BANDS)
     sizes = np.array([r[8] for r in held])
     label = np.array([r[6] for r in held])
-    sets: dict[int, np.ndarray] = {}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -273,22 +403,18 @@ def _compare(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     for k in range(len(held)):
         right = np.arange(k + 1, len(held))
         right = right[(label[right] != label[k]) & (own[right] != own[k] if i != j else True)]
-        if not len(right):
-            continue
-        common = (keys[right] == keys[k]) & (keys[right] != 0)
-        right = right[common.argmax(axis=1) == band]
+        right = right[_first_common(keys[right], np.broadcast_to(keys[k], (len(right), BANDS))) == band]
         if not len(right):
             continue
         size = np.full(len(right), sizes[k])
         found, keep = may_link(registers[right], np.broadcast_to(registers[k], (len(right), REGISTERS)), sizes[right], size)
+        mine = None
         for x in right[keep][np.argsort(-found[keep], kind="stable")].tolist():
             a, b = find(held[k][6]), find(held[x][6])
             if a == b:
                 continue
-            for y in (k, x):
-                if y not in sets:
-                    sets[y] = shingle_sets([held[y][9]])[0]
-            if linked(sets[k], sets[x]):
+            mine = shingle_sets([held[k][9]])[0] if mine is None else mine
+            if linked(mine, shingle_sets([held[x][9]])[0]):
                 root[max(a, b)] = min(a, b)
                 links.append((rep[k], rep[x]))
     if links:
@@ -307,10 +433,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     described = materialise(describe(docs), "described")
     linkable = described.where("n_shingles > 0 and doc_id is not null")
     same = linkable.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("few").alias("few")
     )
     classes = materialise(same, "classes")
-    buckets = materialise(bucket_rows(classes), "buckets")
+    buckets = bucket_rows(classes)
     texts = active_texts(docs, buckets.select(F.col("rep").alias("id")).distinct())
     twice = linkable.join(classes.select("digest", "rep"), "digest").where("doc_id != rep")
     shared = linkable.groupBy("doc_id").agg(F.countDistinct("digest").alias("n")).where("n > 1")
@@ -319,10 +445,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     for turn in range(STAR_ROUNDS):
         likely = _estimated(star_pairs(rows, turn), classes)
         best = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
-        likely = likely.withColumn("k", F.row_number().over(best)).where("k <= 2")
+        likely = materialise(likely.withColumn("k", F.row_number().over(best)).where("k <= 2"), "likely")
         links = links.unionByName(materialise(confirm(likely, texts), "found"))
         found = materialise(components(links), "components")
-        rows = materialise(_mixed(_with_component(buckets, found)), "mixed")
+        rows = _mixed(materialise(_with_component(buckets, found), "labelled"))
     more = materialise(compare_blocks(rows, classes, texts), "found")
     whole = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = materialise(components(whole.unionByName(more)), "components")
