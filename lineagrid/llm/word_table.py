@@ -1,10 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Documents are split into words in blocks of bounded size. Of a block, only the
-distinct words travel, dealt by a hash of the word: the task that holds a
-hash's words keeps that part of the distinct-word table, encodes a word when it
-first arrives and answers every block with ids. Answers return to their block,
-where word positions (ranks into the block's distinct words) turn into ids.
+Spark splits documents into words, which are gathered in blocks of bounded
+size. Of a block, only the distinct words travel, dealt by a hash of the word:
+the task that holds a hash's words keeps that part of the distinct-word table,
+encodes a word when it first arrives and answers every block with ids. Answers
+return to their block, where word positions (ranks into the block's distinct
+words) turn into ids. A part of the table has a bounded size; words that come
+when it is full are encoded once for each block.
 
 Decoding joins each id with the vocabulary's id-to-piece table, whose size is
 that of the vocabulary.
@@ -15,22 +17,23 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches, materialise_bucketed, record_batch, shuffle_partitions, text_bytes
-from .encoding import byte_letters, load_tokenizer, separated_words, shared_encoder
+from .common import bound_batches, materialise_bucketed, record_batch, shuffle_partitions
+from .encoding import byte_letters, load_tokenizer, shared_encoder
 
 #: Bytes of text after which a block is closed; a longer document is a block of its own.
 #: Larger blocks repeat fewer words but hold more of a worker's memory.
 BLOCK_BYTES = 10 << 20
+#: Words that a task keeps in its part of the distinct-word table at most, and the longest of them (bytes).
+TABLE_WORDS, TABLE_WORD = 1_000_000, 64
 _SCHEMA = "block bigint, part int, payload binary, detail binary, doc_ids array<bigint>"
 _DOCS = -1  # the ``part`` of a block's row that holds its documents
 
@@ -60,17 +63,39 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return record_batch(**{n: pa.array(c, type=t) for n, c, t in zip(names, zip(*rows), kinds)})
 
 
-def _close_block(block: int, doc_ids: list[int | None], texts: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
-    column = pa.array([separated_words(t) for t in texts], type=pa.binary()).view(pa.string())
-    split = pc.ascii_split_whitespace(column)
-    coded = split.values.dictionary_encode()
-    words = coded.dictionary.view(pa.binary()).to_pylist()
-    uses = np.bincount(coded.indices.to_numpy(), minlength=len(words))
+def spark_words(text: Column) -> Column:
+    """The words of a text (null: empty), split at ASCII white space; empty ones at its ends stand for nothing.
+
+    In plain prose a full stop or comma stands alone, so that fewer distinct
+    words arise. No token of a word vocabulary reaches over such a cut.
+    """
+    text = F.coalesce(text, F.lit(""))
+    prose = text.rlike("^[ \\n.,0-9A-Za-z\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF]*$")
+    for run in ("..", ".,", ",.", ",,"):
+        prose = prose & ~F.contains(text, F.lit(run))
+    marked = F.replace(F.replace(text, F.lit("."), F.lit(" . ")), F.lit(","), F.lit(" , "))
+    return F.split(F.when(prose, marked).otherwise(text), "[\\x20\\x09-\\x0D]+")
+
+
+def _folded(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words in lower case, which word vocabularies fold, and the place of each of ``words``; special strings keep theirs."""
+    places: dict[bytes, int] = {}
+    at = [places.setdefault(w if b"<|" in w else w.lower(), len(places)) for w in words]
+    return list(places), np.array(at, dtype=np.int64)
+
+
+def _close_block(block: int, doc_ids: list[int | None], texts: list[pa.Array], parts: int) -> Iterator[pa.RecordBatch]:
+    """A block's rows from ``texts``, arrays of lists of words."""
+    split = pa.concat_arrays(texts)
+    coded = split.flatten().cast(pa.binary()).dictionary_encode()
+    words, place = _folded(coded.dictionary.to_pylist())
+    indices = place[coded.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.int64)
+    uses = np.bincount(indices, minlength=len(words))
     ranked = np.argsort(-uses, kind="stable")
     rank = np.empty(len(words), dtype=np.uint32)
     rank[ranked] = np.arange(len(words), dtype=np.uint32)
-    counts = np.diff(split.offsets.to_numpy()).astype("<u4").tobytes()
-    yield _rows([(block, _DOCS, _pack_ranks(rank[coded.indices.to_numpy()]), _squeeze(counts), doc_ids)])
+    counts = pc.list_value_length(split).to_numpy().astype("<u4").tobytes()
+    yield _rows([(block, _DOCS, _pack_ranks(rank[indices]), _squeeze(counts), doc_ids)])
     dealt: dict[int, tuple[list[bytes], list[int]]] = {}
     for word, r in zip(words, rank.tolist()):
         held = dealt.setdefault(zlib.crc32(word) % parts, ([], []))
@@ -88,25 +113,35 @@ def split_into_blocks(docs: DataFrame, parts: int, block_bytes: int = BLOCK_BYTE
         block = TaskContext.get().partitionId() << 32
         doc_ids, texts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if texts and size + len(text) > block_bytes:
-                    yield from _close_block(block, doc_ids, texts, parts)
-                    block, doc_ids, texts, size = block + 1, [], [], 0
-                doc_ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
+            sizes = batch.column(1).to_numpy()
+            first = 0
+            for k in range(batch.num_rows + 1):
+                whole = k == batch.num_rows
+                if whole or (size and size + sizes[k] > block_bytes):
+                    if k > first:
+                        texts.append(batch.column(2).slice(first, k - first))
+                        doc_ids += batch.column(0).slice(first, k - first).to_pylist()
+                        first = k
+                    if not whole:
+                        yield from _close_block(block, doc_ids, texts, parts)
+                        block, doc_ids, texts, size = block + 1, [], [], 0
+                if not whole:
+                    size += int(sizes[k])
         if texts:
             yield from _close_block(block, doc_ids, texts, parts)
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_bytes())
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"), spark_words(F.col("text")).alias("words"))
     return materialise_bucketed(rows.mapInArrow(run, _SCHEMA), "blocks", "block", parts)
 
 
-def encode_words(words: DataFrame, tokenizer_path: str, parts: int) -> DataFrame:
+def encode_words(words: DataFrame, tokenizer_path: str, parts: int, table_words: int = TABLE_WORDS) -> DataFrame:
     """Answer ``block, part, payload(words)`` with ids: each distinct word is encoded once.
 
     One task holds a hash's part of the distinct-word table while the blocks
-    stream by; the table's parts grow in number with the shuffle partitions.
+    stream by; the table's parts grow in number with the shuffle partitions. A
+    part that has ``table_words`` words takes no more, and words that it does
+    not hold are encoded for each block that has them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +156,10 @@ def encode_words(words: DataFrame, tokenizer_path: str, parts: int) -> DataFrame
                     table, now = {}, part
                 own = _expand(payload).split(b"\n")
                 new = [w for w in own if w not in table]
-                table.update(zip(new, encoder.encode_pieces(new)))
-                ids = [table[w] for w in own]
+                made = dict(zip(new, encoder.encode_pieces(new)))
+                ids = [table[w] if w in table else made[w] for w in own]
+                if len(table) < table_words:
+                    table.update((w, x) for w, x in made.items() if len(w) <= TABLE_WORD)
                 widths = np.fromiter((len(x) // size for x in ids), dtype="<u4", count=len(ids))
                 blob = len(ids).to_bytes(4, "little") + widths.tobytes() + b"".join(ids)
                 out.append((block, part, _squeeze(blob), detail, None))
@@ -134,7 +171,7 @@ def encode_words(words: DataFrame, tokenizer_path: str, parts: int) -> DataFrame
 
 
 def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, ids`` for each row of ``docs``: packed little-endian unsigned 32-bit ids.
+    """``doc_id, ids`` for each row of ``docs``: an array of ids.
 
     Equals the library's ``encode(text, add_special_tokens=False)`` on the whole
     text; null is empty, repeated rows stay, other columns are not read.
@@ -161,7 +198,7 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES)
                     held.append((_unpack_ranks(answer["detail"]), widths, np.frombuffer(blob, dtype=dtype, offset=4 + 4 * n)))
                 yield from _restore(held, _unpack_ranks(payload), np.frombuffer(_expand(detail), "<u4"), doc_ids)
 
-    return both.mapInArrow(run, "doc_id bigint, ids binary")
+    return both.mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def _restore(held, ranks: np.ndarray, counts: np.ndarray, doc_ids: list) -> Iterator[pa.RecordBatch]:
@@ -181,10 +218,9 @@ def _restore(held, ranks: np.ndarray, counts: np.ndarray, doc_ids: list) -> Iter
         place = ranks[ends[i] : ends[j]]
         wide = width[place]
         stops = np.concatenate(([0], np.cumsum(wide)))
-        flat = ids[np.repeat(first[place] - stops[:-1], wide) + np.arange(stops[-1])].astype("<u4")
-        cuts = stops[ends[i : j + 1] - ends[i]].tolist()
-        out = [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        yield record_batch(doc_id=pa.array(doc_ids[i:j], type=pa.int64()), ids=pa.array(out, type=pa.binary()))
+        flat = ids[np.repeat(first[place] - stops[:-1], wide) + np.arange(stops[-1])].astype(np.int32)
+        cuts = stops[ends[i : j + 1] - ends[i]].astype(np.int32)
+        yield record_batch(doc_id=pa.array(doc_ids[i:j], type=pa.int64()), ids=pa.ListArray.from_arrays(cuts, pa.array(flat)))
 
 
 class PieceTable:
@@ -195,55 +231,94 @@ class PieceTable:
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         added = set(tokenizer.get_added_tokens_decoder())
-        pieces = [b""] * self.size
         self.spaced = tokenizer.decoder is None
         plain = byte_letters()
+        self.pieces = {}
         for piece, i in vocabulary.items():
             as_bytes = not self.spaced and i not in added
-            pieces[i] = bytes(plain[c] for c in piece) if as_bytes else piece.encode()
-        self.pieces = pieces
+            self.pieces[i] = bytes(plain[c] for c in piece) if as_bytes else piece.encode() + b" " * self.spaced
 
-    def decode(self, ids: np.ndarray) -> str:
-        found = list(map(self.pieces.__getitem__, ids.tolist()))
-        return (b" " if self.spaced else b"").join(found).decode("utf-8", "replace")
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """``id, piece``; where a space joins pieces, it follows each."""
+        columns = {"id": pa.array(list(self.pieces), type=pa.int32()), "piece": pa.array(list(self.pieces.values()), type=pa.binary())}
+        return spark.createDataFrame(pa.table(columns))
 
+    def text(self, pieces: bytes) -> str:
+        """The text of pieces that follow one another."""
+        return (pieces[:-1] if self.spaced else pieces).decode("utf-8", "replace")
 
-@lru_cache(maxsize=2)
-def shared_pieces(tokenizer_path: str) -> PieceTable:
-    """The piece table of a vocabulary in this process."""
-    return PieceTable(tokenizer_path)
 
+def _with_texts(encoded: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFrame:
+    """``finish(doc_ids, ids, texts)`` of some documents of ``doc_id, ids`` at a time.
 
-def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``doc_id, text`` for ``doc_id, ids``, as the library's ``decode(ids, skip_special_tokens=False)``."""
+    Ids meet their pieces in a join. The table of pieces has the size of the
+    vocabulary, so it is broadcast, and the ids of a document stay in their
+    order, in the task that exploded them.
+    """
+    spark = encoded.sparkSession
+    table = PieceTable(tokenizer_path)
+    numbered = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids")
+    each = numbered.select("row", "doc_id", F.explode_outer("ids").alias("id"))
+    joined = each.join(F.broadcast(table.rows(spark)), "id", "left").select("row", "doc_id", "id", "piece")
+    shape = PieceTable.__new__(PieceTable)  # what workers need: not the pieces
+    shape.spaced = table.spaced
 
-    def make():
-        table = shared_pieces(tokenizer_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, doc_id, held = None, None, []  # the last document of a batch may go on in the next one
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist(), batch.num_rows]
+            ids = batch.column(2).fill_null(-1).to_numpy()
+            pieces = batch.column(3).fill_null(b"")
+            offsets = np.frombuffer(pieces.buffers()[1], "<i4", len(pieces) + 1, 4 * pieces.offset)
+            data = memoryview(pieces.buffers()[2] or b"")
+            done: tuple[list, list, list] = ([], [], [])
+            for a, b in zip(cuts, cuts[1:]):
+                if rows[a] != now:
+                    if now is not None:
+                        _put(done, doc_id, held, shape)
+                    now, doc_id, held = rows[a], batch.column(1)[a].as_py(), []
+                held.append((ids[a:b], bytes(data[offsets[a] : offsets[b]])))
+            if done[0]:
+                yield finish(*done)
+        if now is not None:
+            done = ([], [], [])
+            _put(done, doc_id, held, shape)
+            yield finish(*done)
+
+    bound_batches(spark)
+    return joined.mapInArrow(run, schema)
+
+
+def _put(done: tuple[list, list, list], doc_id: int | None, held: list, shape: PieceTable) -> None:
+    ids = np.concatenate([h[0] for h in held])
+    done[0].append(doc_id)
+    done[1].append(ids[ids >= 0])
+    done[2].append(shape.text(b"".join(h[1] for h in held)))
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [table.decode(np.frombuffer(x, dtype="<u4")) for x in batch.column(1).to_pylist()]
-            return record_batch(doc_id=batch.column(0), text=pa.array(texts, type=pa.string()))
 
-        return step
+def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``doc_id, text`` for ``doc_id, ids``, as the library's ``decode(ids, skip_special_tokens=False)``."""
+
+    def finish(doc_ids: list, ids: list, texts: list) -> pa.RecordBatch:
+        return record_batch(doc_id=pa.array(doc_ids, type=pa.int64()), text=pa.array(texts, type=pa.string()))
 
-    return map_batches(encoded.select("doc_id", "ids"), make, "doc_id bigint, text string")
+    return _with_texts(encoded.select("doc_id", "ids"), tokenizer_path, finish, "doc_id bigint, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encode and decode: doc_id, n_tokens, ids_sha256, decoded_sha256 (digests of decimal ids and of the text)."""
-
-    def make():
-        table = shared_pieces(tokenizer_path)
-        decimal = [str(i).encode() for i in range(table.size)]
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [np.frombuffer(x, dtype="<u4") for x in batch.column(1).to_pylist()]
-            ids = [hashlib.sha256(b" ".join(map(decimal.__getitem__, x.tolist()))).hexdigest() for x in packed]
-            texts = [hashlib.sha256(table.decode(x).encode()).hexdigest() for x in packed]
-            n = pa.array([len(x) for x in packed], type=pa.int64())
-            return record_batch(doc_id=batch.column(0), n_tokens=n, ids_sha256=pa.array(ids), decoded_sha256=pa.array(texts))
-
-        return step
+    decimal: list[bytes] = []
+
+    def finish(doc_ids: list, ids: list, texts: list) -> pa.RecordBatch:
+        top = max((int(x.max()) for x in ids if len(x)), default=0)
+        decimal.extend(str(i).encode() for i in range(len(decimal), top + 1))  # as many as the vocabulary has
+        return record_batch(
+            doc_id=pa.array(doc_ids, type=pa.int64()),
+            n_tokens=pa.array([len(x) for x in ids], type=pa.int64()),
+            ids_sha256=pa.array([hashlib.sha256(b" ".join(map(decimal.__getitem__, x.tolist()))).hexdigest() for x in ids]),
+            decoded_sha256=pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
+        )
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_batches(encode(docs, tokenizer_path), make, schema)
+    return _with_texts(encode(docs, tokenizer_path), tokenizer_path, finish, schema)
