@@ -220,9 +220,10 @@ def join_hot(df: DataFrame, groups: DataFrame, keys: list[str], weight: str, lim
     broadcast; any other has less than one in ``limit`` of the rows, so no task
     of the join of the rest gets a large share.
     """
-    hot = materialise(groups.orderBy(F.desc(weight), *keys).limit(limit), "hot")
+    top = groups.orderBy(F.desc(weight), *keys).limit(limit).toArrow()  # at most ``limit`` rows
+    hot = df.sparkSession.createDataFrame(top, groups.schema)
     sure = df.join(F.broadcast(hot), keys)
-    if hot.count() < limit:
+    if top.num_rows < limit:
         return sure
     rest = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return sure.unionByName(rest.join(groups, keys))
@@ -241,7 +242,8 @@ def join_salted(df: DataFrame, table: DataFrame, key: str, rows: int = SALTED_RO
     rows of ``df`` or no more than ``rows``.
     """
     heavy = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).orderBy(F.desc("_n"), key).limit(limit)
-    heavy = materialise(heavy.select(F.col(key), F.ceil(F.col("_n") / rows).cast("int").alias("_parts")), "heavy")
+    heavy = heavy.select(F.col(key), F.ceil(F.col("_n") / rows).cast("int").alias("_parts"))
+    heavy = df.sparkSession.createDataFrame(heavy.toArrow(), heavy.schema)  # at most ``limit`` rows
     parts = F.coalesce("_parts", F.lit(1))
     others = [F.col(c) for c in df.columns if c != key]
     left = df.join(F.broadcast(heavy), key, "left").withColumn("_part", F.pmod(F.xxhash64(*others), parts).cast("int"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import cutting_stock
 from .common import map_batches, materialise, record_batch, shuffle_partitions
+from .encoding import shared_encoder
 from .token_output import encode_documents
 
 CAPACITY = 4096
@@ -143,8 +144,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     """
     encoded = encode_documents(docs, tokenizer_path, end_id)
     tokens = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "tokens")
-    id_bytes = 2
-    lengths = tokens.select("row", (F.octet_length("ids") / id_bytes).cast("bigint").alias("n"))
+    dtype = shared_encoder(tokenizer_path).dtype
+    lengths = tokens.select("row", (F.octet_length("ids") / dtype.itemsize).cast("bigint").alias("n"))
     pieces = materialise(plan_pieces(lengths, capacity), "pieces")
     each = F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset")))
     by_row = pieces.groupBy("row").agg(each.alias("pieces"))
@@ -155,7 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
             names = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
             out: dict[str, list] = {k: [] for k in names}
             for doc_id, packed, cuts in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(packed, dtype="<u2")
+                ids = np.frombuffer(packed, dtype=dtype)
                 for cut in cuts:
                     a, n = cut["start"], cut["length"]
                     row = (doc_id, a, n, len(ids), cut["sequence_id"], cut["offset"], ids[a : a + n].astype("<u4").tobytes())
