@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 from . import __version__
+from .functions.statements import PREFIX
 from .operators.diagnostics import has_error, lines
 from .plans import projects
 from .session import local_session
@@ -35,10 +36,11 @@ def main(argv: list[str] | None = None) -> int:
         own.add_argument("--dir", default="", help="root of the schema tree")
         own.add_argument("--dialect", default="", help="postgres, mysql or sqlite")
         own.add_argument("--config", default="", help="configuration file")
+        own.add_argument("--prefix", default=PREFIX, help="the tool whose comments name requirements")
         own.add_argument("--strict", action="store_true", help="mend surprising behaviour instead of keeping it")
         own.add_argument("-o", default="", help="output file")
         if name == "graph":
-            own.add_argument("--format", default="dot", choices=("dot", "mermaid", "json"))
+            own.add_argument("--format", default="dot", choices=("dot", "mermaid", "json", "svg"))
     commands.add_parser("lsp")
     commands.add_parser("version")
     commands.add_parser("help")
@@ -59,11 +61,11 @@ def main(argv: list[str] | None = None) -> int:
         spark.sparkContext.setLogLevel("ERROR")
         files = read_tree(spark, folder, dialect)
         if args.command == "check":
-            found = projects.check(files, args.strict).cache()
+            found = projects.check(files, args.strict, args.prefix).cache()
             for row in lines(found).collect():
                 print(row["line"])
             return int(any(r["has_error"] for r in has_error(found).collect()))
-        made = projects.bundle_or_raise(files, strict=args.strict) if args.command == "bundle" else projects.graph(files, args.format, args.strict)
+        made = projects.bundle_or_raise(files, strict=args.strict, prefix=args.prefix) if args.command == "bundle" else projects.graph(files, args.format, args.strict, args.prefix)
         out = args.o if args.command == "graph" else out  # graphs ignore the configured output
         if out:
             Path(out).write_text(made, encoding="utf-8")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import quote, unquote, urlsplit
 
-from .statements import REQUIRE
+from .statements import requirement
 
 #: Bytes of an identifier in an editor: wider than the lexer's words.
 IDENT = "[A-Za-z0-9_$\x80-\xff]"
@@ -43,7 +43,7 @@ def completion_context(text: str, offset: int) -> tuple[str, str]:
     prefix = word_before(text, offset)
     start = offset - len(prefix)
     line = re.match(r"[ \t\r\v\f]*(?:--|\#)[ \t]*(.*)", text[text.rfind("\n", 0, start) + 1 : start], re.S)
-    required = REQUIRE.match(line[1]) if line else None
+    required = requirement().match(line[1]) if line else None
     if required and (required.end() == len(line[1]) or line[1][required.end()] in " \t"):
         return "directive", prefix
     word, end = _previous_word(text[:start])

@@ -7,7 +7,11 @@ from typing import Any, BinaryIO
 
 
 def read_message(stream: BinaryIO) -> Any | None:
-    """The next message, or None at the end of the stream."""
+    """The next message, or None at the end of the stream.
+
+    A body that is no JSON raises ``json.JSONDecodeError``; the stream then
+    stands at the next message.
+    """
     length = None
     while True:
         line = stream.readline()

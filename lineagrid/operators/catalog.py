@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions.lexing import LexError, split
 from ..functions.positions import LineMap
-from ..functions.statements import facts
+from ..functions.statements import PREFIX, facts
 from ..session import PARSED
 
 def _utf8(view: str) -> str:
     return view.encode("latin-1").decode("utf-8", "replace")
 
 
-def parse_content(content: bytes, dialect: str, strict: bool = False) -> list[dict]:
+def parse_content(content: bytes, dialect: str, strict: bool = False, prefix: str = PREFIX) -> list[dict]:
     """One row for each statement of a file, or one with ``error``."""
     source = bytes(content).decode("latin-1")
     try:
@@ -30,7 +30,7 @@ def parse_content(content: bytes, dialect: str, strict: bool = False) -> list[di
         return [{"stmt_idx": -1, "sub_idx": 0, "kind": "", "name": "", "text": "", "line": 1, "col": 1, "error": str(e)}]
     lines, out = LineMap(source), []
     for k, statement in enumerate(found):
-        own = facts(statement, strict=strict)
+        own = facts(statement, strict=strict, prefix=prefix)
         line, col = lines.locate(own.name_offset)
         refs = [(_utf8(r.name) if r.kind != "directive" else r.name, r.kind, r.offset, *lines.locate(r.offset)) for r in own.refs]
         out.append({
@@ -47,10 +47,11 @@ def parse_content(content: bytes, dialect: str, strict: bool = False) -> list[di
     return out
 
 
-def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
+def parse_files(files: DataFrame, strict: bool = False, prefix: str = PREFIX) -> DataFrame:
     """``files(project, dialect, file, content)`` as one row for each statement (``session.PARSED``).
 
     A file that cannot be split has one row with ``error`` and no statement.
+    Requirement comments begin with ``prefix``, a tool's name.
     """
     columns = [f.name for f in files.sparkSession.createDataFrame([], PARSED).schema]
 
@@ -58,7 +59,7 @@ def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
         for frame in frames:
             rows = []
             for project, dialect, file, content in frame.itertuples(index=False):
-                for row in parse_content(content, dialect, strict):
+                for row in parse_content(content, dialect, strict, prefix):
                     rows.append({"project": project, "dialect": dialect, "file": file} | row)
             made = pd.DataFrame(rows, columns=columns)
             for name in ("stmt_idx", "sub_idx", "name_offset", "line", "col", "start", "end"):

@@ -64,49 +64,84 @@ def _kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """All ``from, to`` joined by a path: paths double in length each round, until none is new."""
-    found = _kept(edges.select("from", "to").distinct())
-    size = found.count()
+def _settled(df: DataFrame, step, measure: Column) -> DataFrame:
+    """``step`` applied until ``measure``, an aggregate, stays; each round is kept and the one before it released."""
+    found = _kept(df)
+    mark = found.agg(measure).first()[0]
     while True:
-        step = found.alias("x").join(found.alias("y"), F.col("x.to") == F.col("y.from")).select("x.from", "y.to")
-        found = _kept(found.union(step).distinct())
-        if (now := found.count()) == size:
+        following = _kept(step(found))
+        now = following.agg(measure).first()[0]
+        found.unpersist()
+        found = following
+        if now == mark:
             return found
-        size = now
+        mark = now
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges left when those of nodes without a way in or out are taken away again and again."""
+
+    def step(core: DataFrame) -> DataFrame:
+        ends = core.select(F.col("from").alias("n")).intersect(core.select(F.col("to").alias("n")))
+        return core.join(ends, core["from"] == ends["n"], "left_semi").join(ends, core["to"] == ends["n"], "left_semi")
+
+    return _settled(edges, step, F.count("*"))
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
     """``node, component``: nodes that reach themselves through others; the component is its least node.
 
-    Nodes without a way in or out cannot be in a cycle and are trimmed first,
-    so only the core is closed over.
+    Each round colours every node with the least node that reaches it. The
+    nodes that reach the node of their own colour are its component; they
+    leave, and what remains is trimmed and coloured anew. Links are joined by
+    their ends only, so the work is that of the links and never of all pairs.
+    Loops and repeated links are ignored; null ends have no cycle.
     """
-    core = _kept(edges.where("from != to").distinct())
-    size = core.count()
-    while size:
-        ends = core.select("from").intersect(core.select("to")).withColumnRenamed("from", "n")
-        less = core.join(ends, core["from"] == ends["n"], "left_semi").join(ends, core["to"] == ends["n"], "left_semi")
-        less = _kept(less)
-        if (now := less.count()) == size:
-            break
-        core, size = less, now
-    reach = reachable(core)
-    back = reach.select(F.col("from").alias("to"), F.col("to").alias("from"))
-    both = reach.join(back, ["from", "to"]).where("from != to")
-    return both.groupBy(F.col("from").alias("node")).agg(F.least(F.min("to"), F.first("from")).alias("component"))
+    core = _trimmed(edges.where("from != to").select("from", "to").distinct())
+    found = None
+    while not core.isEmpty():
+
+        def colour(own: DataFrame) -> DataFrame:
+            through = core.join(own, core["from"] == own["node"]).groupBy("to").agg(F.min("colour").alias("best"))
+            joined = own.join(through, own["node"] == through["to"], "left")
+            return joined.select("node", F.least("colour", "best").alias("colour"))
+
+        nodes = core.select(F.col("from").alias("node")).distinct().withColumn("colour", F.col("node"))
+        coloured = _settled(nodes, colour, F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)")))
+        ends = [coloured.select(F.col("node").alias(e), F.col("colour").alias(f"c_{e}")) for e in ("from", "to")]
+        same = _kept(core.join(ends[0], "from").join(ends[1], "to").where("c_from = c_to").select("from", "to", F.col("c_to").alias("colour")))
+
+        def back(own: DataFrame) -> DataFrame:
+            step = same.join(own.select(F.col("node").alias("to"), "colour"), ["to", "colour"]).select(F.col("from").alias("node"), "colour")
+            return own.unionByName(step).distinct()
+
+        members = _settled(coloured.where("node = colour"), back, F.count("*"))
+        found = members if found is None else found.unionByName(members)
+        gone = members.select("node")
+        left = core.join(gone, core["from"] == gone["node"], "left_anti").join(gone, core["to"] == gone["node"], "left_anti")
+        core = _trimmed(left)
+    if found is None:
+        return edges.select(F.col("from").alias("node"), F.col("to").alias("component")).where("false")
+    several = found.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
+    return found.join(several, "colour", "left_semi").select("node", F.col("colour").alias("component"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, level`` of an acyclic graph: the longest way to a node without dependencies, by relaxation."""
-    found = _kept(nodes.select(F.col("node"), F.lit(0).alias("level")))
-    while True:
+    """``node, level`` of an acyclic graph: the longest way to a node without dependencies, by relaxation.
+
+    In a graph without cycles no way is longer than its nodes are many, so a
+    further round that still changes a level raises ``ValueError``. Links to
+    nodes that ``nodes`` does not list, and null ends, are ignored.
+    """
+    found = _kept(nodes.select(F.col("node"), F.lit(0).alias("level")).distinct())
+    for _ in range(found.count() + 1):
         step = edges.join(found, edges["to"] == found["node"]).groupBy("from").agg((F.max("level") + 1).alias("up"))
         joined = found.join(step, found["node"] == step["from"], "left")
         nxt = _kept(joined.select("node", F.greatest("level", F.coalesce("up", "level")).alias("level")))
         if nxt.join(found, ["node", "level"], "left_anti").isEmpty():
             return nxt
         found = nxt
+    raise ValueError("the graph has a cycle")
 
 
 def line_starts(df: DataFrame, key: str, text: str) -> DataFrame:

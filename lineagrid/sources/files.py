@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexing import check_dialect
 from ..session import FILES
 
+try:
+    import yaml
+except ImportError:  # optional: the plain form of the configuration needs no library
+    yaml = None
+
 
 def discover(root: str | Path) -> list[str]:
     """Relative slash paths of all ``.sql`` files, any case, in byte order; dot directories are left out.
@@ -30,9 +37,26 @@ def discover(root: str | Path) -> list[str]:
 
 
 def read_tree(spark: SparkSession, root: str | Path, dialect: str, project: str = "") -> DataFrame:
-    """``project, dialect, file, content`` of a tree; a file that cannot be read raises."""
-    rows = [(project, check_dialect(dialect), f, bytearray(Path(root, f).read_bytes())) for f in discover(root)]
-    return unix_lines(spark.createDataFrame(rows, FILES))
+    """``project, dialect, file, content`` of a tree on storage that all executors see; a file that cannot be read raises.
+
+    The driver lists names, executors read contents.
+    """
+    names = discover(root)
+    for f in names:
+        if not os.access(os.path.join(root, f), os.R_OK):
+            raise PermissionError(f"cannot read {os.path.join(root, f)}")
+    rows = [(project, check_dialect(dialect), f) for f in names]
+    listed = spark.createDataFrame(rows, "project string, dialect string, file string")
+    base = os.path.abspath(root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a file at a time: contents have any size
+                row = batch.slice(k, 1)
+                content = Path(base, row.column(2)[0].as_py()).read_bytes()
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], type=pa.binary())], names=["project", "dialect", "file", "content"])
+
+    return unix_lines(listed.mapInArrow(read, FILES))
 
 
 def from_texts(spark: SparkSession, texts: dict[str, str], dialect: str = "postgres", project: str = "") -> DataFrame:
@@ -89,14 +113,43 @@ def find_config(start: str | Path, names: tuple[str, ...] = CONFIG_NAMES) -> Pat
 
 
 def load_config(path: str | Path) -> Config:
-    """Flat ``key: value`` configuration; unknown keys and dialects are errors, paths are relative to its folder.
+    """A YAML mapping of settings; unknown and repeated keys and unknown dialects are errors, paths are relative to its folder.
 
-    The format is the subset of YAML that such files use: comments, plain and
-    quoted scalars. An empty file is a configuration without settings.
+    Read with a YAML library where there is one; else the subset that such
+    files use: a setting a line, comments, plain and quoted scalars. An empty
+    file is a configuration without settings.
     """
     path = Path(path)
+    text = path.read_text(encoding="utf-8")
+    held = _plain_settings(path, text) if yaml is None else _yaml_settings(path, text)
+    if held.get("dialect"):
+        try:
+            check_dialect(held["dialect"])
+        except ValueError as e:
+            raise ConfigError(f"parsing {path}: {e}") from e
+    place = lambda p: str(path.parent / p) if p else ""
+    return Config(path, held.get("dialect", ""), place(held.get("schema_dir", "")), place(held.get("out", "")))
+
+
+def _yaml_settings(path: Path, text: str) -> dict[str, str]:
+    try:
+        tree = yaml.compose(text, Loader=yaml.SafeLoader)
+        found = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ConfigError(f"parsing {path}: {e}") from e
+    if found is None:
+        return {}
+    keys = [k.value for k, _ in tree.value] if isinstance(found, dict) else []
+    if not keys or set(keys) - set(_KEYS) or len(set(keys)) < len(keys):
+        raise ConfigError(f"parsing {path}: expected each of {', '.join(_KEYS)} once at most, found {keys or type(found).__name__}")
+    if not all(v is None or isinstance(v, str) for v in found.values()):
+        raise ConfigError(f"parsing {path}: settings are texts")
+    return {k: v or "" for k, v in found.items()}
+
+
+def _plain_settings(path: Path, text: str) -> dict[str, str]:
     held: dict[str, str] = {}
-    for number, line in enumerate(path.read_text(encoding="utf-8").splitlines(), 1):
+    for number, line in enumerate(text.splitlines(), 1):
         if not line.strip() or line.lstrip().startswith("#") or line.strip() in ("---", "..."):
             continue
         found = re.fullmatch(r"""([A-Za-z_]\w*)\s*:(?:\s+(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^#'"\s].*?)))?\s*(?:\s#.*)?""", line)
@@ -104,10 +157,4 @@ def load_config(path: str | Path) -> Config:
             raise ConfigError(f"parsing {path}: line {number}: {line.strip()!r}")
         double, single, plain = found[2], found[3], found[4]
         held[found[1]] = re.sub(r"\\(.)", r"\1", double) if double is not None else (single.replace("''", "'") if single is not None else plain or "")
-    if held.get("dialect"):
-        try:
-            check_dialect(held["dialect"])
-        except ValueError as e:
-            raise ConfigError(f"parsing {path}: {e}") from e
-    place = lambda p: str(path.parent / p) if p else ""
-    return Config(path, held.get("dialect", ""), place(held.get("schema_dir", "")), place(held.get("out", "")))
+    return held

@@ -28,25 +28,39 @@ def latest(events: DataFrame) -> DataFrame:
 class OverlaySession:
     """Keeps the buffers of a stream of edit events and re-checks what they touch.
 
-    Buffers are a table in memory of the driver's plan, replaced by each
-    micro-batch; ``publish(batch_id, diagnostics)`` receives the diagnostics of
-    the touched projects. A batch that cannot be checked is reported and does
-    not stop the stream.
+    Buffers are a table beside the checkpoint, written anew by each micro-batch
+    under its number, so a restarted or repeated batch finds what the one
+    before it left. ``publish(batch_id, diagnostics)`` receives the diagnostics
+    of the touched projects. A batch that cannot be checked is reported and
+    does not stop the stream.
     """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, publish: Callable[[int, DataFrame], None]):
-        self.spark, self.files, self.publish = spark, files, publish
-        self.events = spark.createDataFrame([], EVENTS)
+    def __init__(self, spark: SparkSession, files: DataFrame, publish: Callable[[int, DataFrame], None], state: str):
+        self.spark, self.files, self.publish, self.state = spark, files, publish, state.rstrip("/")
         self.failures: list[tuple[int, str]] = []
 
+    def buffers(self, before: int | None = None) -> DataFrame:
+        """The last event of each file after all batches, or those before a number."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.state)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        held = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+        whole = {int(p.getName()): p for p in held if p.getName().isdigit() and fs.exists(p.suffix("/_SUCCESS"))}
+        numbers = [n for n in whole if before is None or n < before]
+        if not numbers:
+            return self.spark.createDataFrame([], EVENTS)
+        for n in sorted(numbers)[:-2]:
+            fs.delete(whole[n], True)
+        return self.spark.read.schema(EVENTS).parquet(f"{self.state}/{max(numbers)}")
+
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         held = batch.select("seq", "project", "file", "event", "text")
-        last = self.events.unionByName(held).groupBy("project", "file").agg(F.max_by(F.struct("seq", "event", "text"), "seq").alias("e"))
-        kept = last.select("e.seq", "project", "file", "e.event", "e.text").collect()  # one row for each open file
-        self.events = self.spark.createDataFrame(kept, EVENTS)
+        every = self.buffers(batch_id).unionByName(held)
+        last = every.groupBy("project", "file").agg(F.max_by(F.struct("seq", "event", "text"), "seq").alias("e"))
+        kept = last.select("e.seq", "project", "file", "e.event", "e.text")
+        kept.write.mode("overwrite").parquet(f"{self.state}/{batch_id}")
         touched = held.select("project").distinct()
         try:
-            now = overlaid(self.files, latest(self.events)).join(touched, "project", "left_semi")
+            now = overlaid(self.files, latest(self.buffers(batch_id + 1))).join(touched, "project", "left_semi")
             self.publish(batch_id, projects.check(now))
         except Exception as e:  # one bad batch must not end the session
             self.failures.append((batch_id, str(e)))

@@ -52,7 +52,17 @@ class LanguageServer:
 
     def serve(self) -> int:
         """Until ``exit`` or the end of the stream; 0 only after ``shutdown``."""
-        while (message := read_message(self.source)) is not None:
+        while True:
+            try:
+                message = read_message(self.source)
+            except (json.JSONDecodeError, UnicodeDecodeError) as e:  # a bad body must not end the session
+                print(f"message that is no JSON: {e}", file=sys.stderr)
+                continue
+            if message is None:
+                break
+            if not isinstance(message, dict) or not isinstance(message.get("method", ""), str):
+                print("message that is no request", file=sys.stderr)
+                continue
             method = message.get("method", "")
             if method == "exit":
                 break

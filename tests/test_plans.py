@@ -1,19 +1,24 @@
 import json
+import random
+from xml.etree import ElementTree
 
 import pytest
 
+from lineagrid import queries
 from lineagrid.__main__ import main
+from lineagrid.functions.drawing import layers, places, svg
 from lineagrid.functions.editor import completion_context, identifier_span, path_of, uri_of
 from lineagrid.functions.rpc import read_message, write_message
-from lineagrid.operators import catalog, editor, graphs, render
+from lineagrid.operators import catalog, editor, graphs, kernels, render
 from lineagrid.plans import projects
+from lineagrid.sources import files
 from lineagrid.sources.files import ConfigError, discover, find_config, from_texts, load_config, read_tree
 from lineagrid.streaming.overlay import EVENTS, OverlaySession
 
 GOLDEN = {
     "orders.sql": "-- First by name.\nCREATE TABLE orders (\n    id serial,\n    user_id int REFERENCES users(id)\n);\n\nCREATE INDEX i ON orders (user_id);\n",
     "users.sql": "-- People.\nCREATE TABLE users (\n    id serial\n);\n",
-    "views.sql": "-- t:require users\nCREATE VIEW v AS SELECT 1 FROM orders;\n",
+    "views.sql": "-- lineagrid:require users\nCREATE VIEW v AS SELECT 1 FROM orders;\n",
 }
 BUNDLE = """-- Code generated by lineagrid; DO NOT EDIT.
 
@@ -33,35 +38,29 @@ CREATE TABLE orders (
 CREATE INDEX i ON orders (user_id);
 
 -- source: views.sql
--- t:require users
+-- lineagrid:require users
 CREATE VIEW v AS SELECT 1 FROM orders;
 """
 CYCLE = {
-    "orders.sql": "-- O.\nCREATE TABLE orders (\n    id serial,\n    user_id int NOT NULL REFERENCES users (id)\n);",
-    "users.sql": "CREATE TABLE users (\n    id serial,\n    best int REFERENCES orders (id)\n);",
+    "lighthouses.sql": "CREATE TABLE lighthouses (call_sign char(6) PRIMARY KEY, warden bigint REFERENCES keepers(badge) ON DELETE SET NULL, height real);",
+    "keepers.sql": "/* who tends the lamp */\nCREATE TABLE keepers (badge bigint PRIMARY KEY, CONSTRAINT post FOREIGN KEY (station) REFERENCES lighthouses(call_sign), station char(6));",
 }
 CYCLE_BUNDLE = """-- Code generated by lineagrid; DO NOT EDIT.
 
--- source: orders.sql
--- O.
-CREATE TABLE orders (
-    id serial,
-    user_id int NOT NULL
-);
+-- source: keepers.sql
+/* who tends the lamp */
+CREATE TABLE keepers (badge bigint PRIMARY KEY,  station char(6));
 
--- source: users.sql
-CREATE TABLE users (
-    id serial,
-    best int
-);
+-- source: lighthouses.sql
+CREATE TABLE lighthouses (call_sign char(6) PRIMARY KEY, warden bigint , height real);
 
--- source: orders.sql
--- fk constraint moved by lineagrid to break a dependency cycle (from orders.sql)
-ALTER TABLE orders ADD FOREIGN KEY (user_id) REFERENCES users (id);
+-- source: keepers.sql
+-- fk constraint moved by lineagrid to break a dependency cycle (from keepers.sql)
+ALTER TABLE keepers ADD CONSTRAINT post FOREIGN KEY (station) REFERENCES lighthouses(call_sign);
 
--- source: users.sql
--- fk constraint moved by lineagrid to break a dependency cycle (from users.sql)
-ALTER TABLE users ADD FOREIGN KEY (best) REFERENCES orders (id);
+-- source: lighthouses.sql
+-- fk constraint moved by lineagrid to break a dependency cycle (from lighthouses.sql)
+ALTER TABLE lighthouses ADD FOREIGN KEY (warden) REFERENCES keepers(badge) ON DELETE SET NULL;
 """
 
 
@@ -100,7 +99,7 @@ def test_alter_table_counts_as_definition_unless_strict(spark):
 
 
 def test_directive_cycles_are_errors_at_the_first_node(spark):
-    tree = {"a.sql": "-- t:require b\nCREATE TABLE a (x int);", "b.sql": "CREATE TABLE b (x int REFERENCES a(x));"}
+    tree = {"a.sql": "-- lineagrid:require b\nCREATE TABLE a (x int);", "b.sql": "CREATE TABLE b (x int REFERENCES a(x));"}
     assert messages(spark, tree) == [("a.sql", 2, 14, "error", "dependency cycle detected: a.sql:a -> b.sql:b -> a.sql:a")]
     with pytest.raises(projects.SchemaError, match="dependency cycle"):
         projects.bundle_or_raise(from_texts(spark, tree))
@@ -133,7 +132,7 @@ def test_graph_texts(spark):
 def test_edge_kinds(spark):
     tree = {
         "a.sql": "CREATE TABLE u (x int);\nCREATE TABLE o (x int REFERENCES u(x));\nCREATE INDEX i ON o (x);\n"
-        "-- t:require missing\nCREATE VIEW v AS SELECT 1 FROM o JOIN nowhere;\nCREATE TRIGGER tr AFTER INSERT ON o REFERENCES u;"
+        "-- lineagrid:require missing\nCREATE VIEW v AS SELECT 1 FROM o JOIN nowhere;\nCREATE TRIGGER tr AFTER INSERT ON o REFERENCES u;"
     }
     found = graphs.edges(projects.parse(from_texts(spark, tree))).collect()
     assert sorted((r["from"], r["to"], r["kind"]) for r in found) == [
@@ -195,7 +194,7 @@ def test_command_line(tmp_path, spark, capsys, monkeypatch):
 def test_editor_functions():
     assert completion_context("CREATE TABLE t (a int REFERENCES us", 35) == ("references", "us")
     assert completion_context("x int REFERENCES /* c */ -- d\n u", 32) == ("references", "u")
-    assert completion_context("-- t:require a b", 16) == ("directive", "b")
+    assert completion_context("-- lineagrid:require a b", 24) == ("directive", "b")
     assert completion_context("SELECT 1; CREATE UNIQUE INDEX i ON o", 36) == ("on", "o")
     assert completion_context("SELECT 1 FROM a JOIN b ON c", 27) == ("none", "c")
     assert identifier_span('a "b c" d', 2) == (2, 7) and identifier_span("ab.c", 0) == (0, 2) and identifier_span("a b", 1) == (1, 1)
@@ -230,25 +229,30 @@ def test_language_server(spark, tmp_path):
     for name, text in GOLDEN.items():
         (tmp_path / name).write_text(text)
     uri = uri_of(str(tmp_path / "orders.sql"))
-    text = "-- 日本\nCREATE TABLE orders (u int REFERENCES users(id), g int REFERENCES ghost(id));\n-- a:require "
+    text = "-- 日本\nCREATE TABLE orders (u int REFERENCES users(id), g int REFERENCES ghost(id));\n-- lineagrid:require "
     at = {"textDocument": {"uri": uri}, "position": {"line": 1, "character": 40}}
     messages = [
         {"id": 1, "method": "initialize", "params": {}},
         {"method": "textDocument/didOpen", "params": {"textDocument": {"uri": uri, "text": text}}},
         {"id": 2, "method": "textDocument/definition", "params": at},
         {"id": 3, "method": "textDocument/hover", "params": at},
-        {"id": 4, "method": "textDocument/completion", "params": at | {"position": {"line": 2, "character": 13}}},
+        {"id": 4, "method": "textDocument/completion", "params": at | {"position": {"line": 2, "character": 21}}},
         {"id": 5, "method": "own/dependencyGraph", "params": {"uri": uri}},
         {"id": 6, "method": "nope"},
         {"id": 7, "method": "textDocument/hover", "params": {}},
         {"id": 8, "method": "textDocument/definition", "params": {"textDocument": {"uri": "file:///nowhere/x.sql"}, "position": {}}},
         {"method": "textDocument/didClose", "params": {"textDocument": {"uri": uri}}},
+        "{x}",
+        [1, 2],
         {"id": 9, "method": "shutdown"},
         {"method": "exit"},
     ]
     source, sink = io.BytesIO(), io.BytesIO()
     for m in messages:
-        write_message(source, m)
+        if m == "{x}":
+            source.write(b"Content-Length: 3\r\n\r\n{x}")
+        else:
+            write_message(source, m)
     source.seek(0)
     assert LanguageServer(spark, source, sink).serve() == 0
     sink.seek(0)
@@ -267,23 +271,27 @@ def test_language_server(spark, tmp_path):
 
 
 def test_stream_of_edits(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     rows = [(1, "", "users.sql", "open", "CREATE TABLE people (id int);"), (2, "", "users.sql", "change", "CREATE TABLE persons (id int);")]
     source = str(tmp_path / "events")
     spark.createDataFrame(rows, EVENTS).write.parquet(source)
     seen = []
-    session = OverlaySession(spark, from_texts(spark, GOLDEN), lambda n, d: seen.extend(r["message"] for r in d.collect()))
+    begin = lambda: OverlaySession(spark, from_texts(spark, GOLDEN), lambda n, d: seen.extend(r["message"] for r in d.collect()), str(tmp_path / "buffers"))
+    session = begin()
     stream = spark.readStream.schema(EVENTS).parquet(source)
     query = session.start(stream, str(tmp_path / "state"))
     query.awaitTermination(120)
     assert session.failures == []
     assert sorted(seen) == ['unknown reference "users": not defined in this schema'] * 2
-    spark.createDataFrame([(3, "", "users.sql", "close", None)], EVENTS).write.mode("append").parquet(source)
+    later = [(3, "", "orders.sql", "open", "CREATE TABLE orders (x int);")]
+    spark.createDataFrame(later, EVENTS).write.mode("append").parquet(source)
+    seen.clear()
+    begin().start(stream, str(tmp_path / "state")).awaitTermination(120)  # a restart: the buffer of users.sql is still open
+    assert seen == ['unknown reference "users": not defined in this schema']
+    spark.createDataFrame([(4, "", "users.sql", "close", None)], EVENTS).write.mode("append").parquet(source)
     seen.clear()
+    session = begin()
     session.start(stream, str(tmp_path / "state")).awaitTermination(120)
-    assert seen == []
-    del F
+    assert seen == [] and session.failures == []
 
 
 def test_table_function(spark):
@@ -295,3 +303,67 @@ def test_table_function(spark):
 def test_safe_ids(spark):
     row = spark.createDataFrame([("a.b-é",)], "id string").select(render.safe_id("id").alias("s")).first()
     assert row["s"].startswith("n_a_b___") and len(row["s"]) == len("n_a_b___") + 8
+
+
+def test_drawings(spark):
+    dialect, texts = queries.FOREST["harbour"]
+    text = projects.graph(from_texts(spark, texts, dialect), "svg")
+    held = ElementTree.fromstring(text)
+    shown = {t.text for t in held.iter("{http://www.w3.org/2000/svg}text")}
+    assert {"piers", "pilots", "harbour.moorings", "Busy", "ghosts"} <= shown
+    assert sum("#c00000" in p.get("stroke", "") for p in held.iter("{http://www.w3.org/2000/svg}path")) == 2
+    assert layers(["a", "b", "c"], [("a", "b"), ("b", "c"), ("c", "a")]) == {"c": 0, "b": 1, "a": 2}
+    boxes = list(places([f"n{k}" for k in range(30)], [(f"n{k}", f"n{k // 3}") for k in range(1, 30)]).values())
+    assert len({b[:2] for b in boxes}) == 30
+    assert svg([], []).startswith("<svg")
+
+
+@pytest.mark.parametrize("library", [True, False])
+def test_configuration_with_and_without_a_library(tmp_path, monkeypatch, library):
+    if not library:
+        monkeypatch.setattr(files, "yaml", None)
+    elif files.yaml is None:
+        pytest.skip("no YAML library")
+    path = tmp_path / "lineagrid.yaml"
+    for text in ("# c\ndialect: mysql  # own\nout: 'it''s.sql'\n", '---\nout: "it\'s.sql"\n"dialect": mysql\n' if library else "out: \"it's.sql\"\ndialect: mysql\n"):
+        path.write_text(text)
+        assert (load_config(path).dialect, load_config(path).out) == ("mysql", str(tmp_path / "it's.sql"))
+    for text in ("dialect: oracle\n", "dialect: mysql\ndialect: mysql\n", "colour: red\n", "- a\n"):
+        path.write_text(text)
+        with pytest.raises(ConfigError):
+            load_config(path)
+    path.write_text("")
+    assert load_config(path).dialect == ""
+    if library:
+        path.write_text("dialect: >-\n  sqlite\nout: |-\n  a.sql\n")
+        assert (load_config(path).dialect, load_config(path).out) == ("sqlite", str(tmp_path / "a.sql"))
+
+
+def test_levels_end_on_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "`from` string, `to` string")
+    names = spark.createDataFrame([("a",), ("b",)], "node string")
+    with pytest.raises(ValueError, match="cycle"):
+        kernels.levels(edges, names)
+
+
+def test_cycle_members(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(55)] + [(100, 101), (101, 100), (102, 102)]
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+
+    def reach(n):
+        seen, stack = set(), [n]
+        while stack:
+            for m in ahead.get(stack.pop(), ()):
+                if m not in seen:
+                    seen.add(m)
+                    stack.append(m)
+        return seen
+
+    own = {n: reach(n) for n in {x for p in pairs for x in p}}
+    expected = {n: min(m for m in own if m in own[n] and n in own[m]) for n in own if any(m != n and m in own[n] and n in own[m] for m in own)}
+    found = kernels.cycle_members(spark.createDataFrame(pairs, "`from` bigint, `to` bigint"))
+    assert {r["node"]: r["component"] for r in found.collect()} == expected and len(set(expected.values())) >= 2
+    assert kernels.cycle_members(spark.createDataFrame([(1, 2)], "`from` bigint, `to` bigint")).count() == 0

@@ -34,7 +34,15 @@ def test_entry_works_without_the_optional_subpackage(tmp_path):
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    skip = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "spark-warehouse")
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", "spark-warehouse")
     shutil.copytree(root, tmp_path / "r", ignore=skip)
-    code = "import __spark_entry__ as e; assert 'order_totals' in e.queries() and not any(k.startswith('op') for k in e.queries() if k[2:3].isdigit())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "r")})
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+held = e.queries()
+assert "pipeline" not in held and not any(k.startswith("op") and k[2:3].isdigit() for k in held) and set(e.oracle_sql()) <= set(held)
+assert held["s_statements"](spark, "").count() == 25
+"""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(tmp_path / "r"), os.environ.get("PYTHONPATH", "").replace(root, "")])}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=env)
