@@ -10,7 +10,7 @@ Sets of few shingles fill few registers, so bands may miss them: they also meet
 by their rarest shingles, of which two linked sets must share one.
 
 Links are not listed pair by pair. Documents with equal sets are one class.
-Star rounds test each class against one other of its buckets and merge
+A star round tests each class against a few others of its buckets and merges
 components; then only buckets that still hold several components are compared,
 between different components, in blocks of bounded size: first by sketches
 alone, then with the texts of those classes that have a candidate. A pair is
@@ -48,12 +48,13 @@ SHINGLE = 5
 THRESHOLD = 75
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
-#: Estimates this many standard deviations under the threshold are not confirmed (a chance of one in a billion).
-SLACK = 6.0
+#: Estimates this many standard deviations under the threshold are not confirmed (a chance of 3 in ten million).
+SLACK = 5.0
 #: A link whose smaller set has at most this many shingles is found for certain: no estimate, and a way beside the bands.
 SMALL = 32
 _SHORT = 100 * SMALL // THRESHOLD  # the largest set that such a set can be linked with
-STAR_ROUNDS = 2
+#: Classes of a bucket against which all others are tested first.
+HUBS = 2
 #: Weight of the classes of one side of a comparison of a bucket's blocks: a class weighs 1 and 1 more for each so many shingles.
 CHUNK, WEIGHED = 1500, 500
 
@@ -186,13 +187,16 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
 
 def _rare_shingles(classes: DataFrame) -> DataFrame:
     short = classes.where("few is not null").select("rep", "n_shingles", F.explode("few").alias("shingle"))
-    short = materialise(short, "short")
-    uses = materialise(short.groupBy("shingle").agg(F.count("*").alias("uses")), "uses")
-    ranked = join_hot(short, uses, ["shingle"], "uses").groupBy("rep", "n_shingles")
+    uses = short.groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 1")
+    uses = materialise(uses, "uses")
+    # Shingles that no other short set has come first in the order, and are told by not being in the table.
+    common = materialise(where_in_table(short, F.col("shingle"), bit_table(uses, "shingle")), "short")
+    ranked = join_hot(common, uses, ["shingle"], "uses").groupBy("rep", "n_shingles")
     ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("uses", "shingle"))).alias("ranked"))  # at most _SHORT a set
+    own = F.col("n_shingles").cast("int") - F.size("ranked")
     must = F.ceil(F.col("n_shingles") * THRESHOLD / F.lit(100.0)).cast("int")
-    first = F.slice("ranked", F.lit(1), F.col("n_shingles").cast("int") - must + 1)
-    rows = ranked.select("rep", F.explode(F.filter(first, lambda x: x["uses"] > 1)["shingle"]).alias("shingle"))
+    first = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.col("n_shingles").cast("int") - must + 1 - own))
+    rows = ranked.select("rep", F.explode(first["shingle"]).alias("shingle"))
     return rows.select(F.xxhash64(F.lit(-1), "shingle").alias("bucket"), F.lit(-1).cast("tinyint").alias("band"), "rep")
 
 
@@ -253,14 +257,14 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return materialise(join_hot(rows, shared, ["bucket"], "n").drop("n"), "mixed")
 
 
-def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: each class of a bucket with one of another component, chosen anew each turn; written once."""
-    order = F.xxhash64("component", F.lit(turn)) if turn else F.col("rep")
-    hub = F.min(F.struct(order.alias("order"), "rep", "component")).alias("hub")
-    hubs = materialise(rows.groupBy("bucket").agg(hub, F.count("*").alias("n")), "hubs")
-    rows = join_hot(rows, hubs, ["bucket"], "n").where(F.col("component") != F.col("hub.component"))
-    hub = F.col("hub.rep")
-    return materialise(rows.select(F.least(hub, "rep").alias("a"), F.greatest(hub, "rep").alias("b")).distinct(), "pairs")
+def star_pairs(rows: DataFrame, hubs: int = HUBS) -> DataFrame:
+    """``a, b``: each class of a bucket with the bucket's hubs, the smallest class and others by hash; written once."""
+    orders = [F.col("rep"), *(F.xxhash64("rep", F.lit(k)) for k in range(1, hubs))]
+    chosen = [F.min(F.struct(o.alias("order"), "rep"))["rep"] for o in orders]
+    found = rows.groupBy("bucket").agg(F.array(*chosen).alias("hubs"), F.count("*").alias("n"))
+    rows = join_hot(rows, materialise(found, "hubs"), ["bucket"], "n")
+    rows = rows.select("rep", F.explode(F.array_distinct("hubs")).alias("hub")).where("hub != rep")
+    return materialise(rows.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "pairs")
 
 
 def dealt_to_blocks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -392,6 +396,7 @@ def _compare(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     keys = registers.view("<u8").reshape(len(held), BANDS)
     sizes = np.array([r[8] for r in held])
     label = np.array([r[6] for r in held])
+    sets = shingle_sets([r[9] for r in held])  # of bounded size, as the block's weight is
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -408,13 +413,11 @@ def _compare(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             continue
         size = np.full(len(right), sizes[k])
         found, keep = may_link(registers[right], np.broadcast_to(registers[k], (len(right), REGISTERS)), sizes[right], size)
-        mine = None
         for x in right[keep][np.argsort(-found[keep], kind="stable")].tolist():
             a, b = find(held[k][6]), find(held[x][6])
             if a == b:
                 continue
-            mine = shingle_sets([held[k][9]])[0] if mine is None else mine
-            if linked(mine, shingle_sets([held[x][9]])[0]):
+            if linked(sets[k], sets[x]):
                 root[max(a, b)] = min(a, b)
                 links.append((rep[k], rep[x]))
     if links:
@@ -441,14 +444,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     twice = linkable.join(classes.select("digest", "rep"), "digest").where("doc_id != rep")
     shared = linkable.groupBy("doc_id").agg(F.countDistinct("digest").alias("n")).where("n > 1")
     links = twice.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links, found, rows = materialise(links, "found"), None, buckets.withColumn("component", F.col("rep"))
-    for turn in range(STAR_ROUNDS):
-        likely = _estimated(star_pairs(rows, turn), classes)
-        best = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
-        likely = materialise(likely.withColumn("k", F.row_number().over(best)).where("k <= 2"), "likely")
-        links = links.unionByName(materialise(confirm(likely, texts), "found"))
-        found = materialise(components(links), "components")
-        rows = _mixed(materialise(_with_component(buckets, found), "labelled"))
+    likely = _estimated(star_pairs(buckets), classes)
+    best = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
+    likely = materialise(likely.withColumn("k", F.row_number().over(best)).where(f"k <= {HUBS}"), "likely")
+    links = links.unionByName(materialise(confirm(likely, texts), "found"))
+    found = materialise(components(links), "components")
+    rows = _mixed(materialise(_with_component(buckets, found), "labelled"))
     more = materialise(compare_blocks(rows, classes, texts), "found")
     whole = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = materialise(components(whole.unionByName(more)), "components")
