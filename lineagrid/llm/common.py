@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker. Texts
-#: may be very long, so batches are kept small in rows as well as in bytes.
+#: may be very long, so batches are kept small in rows as well as in bytes: a
+#: worker holds ten times the bytes of a batch of texts, or more, while it works.
 BATCH_ROWS = 20_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 #: Tables whose files have fewer bytes are dealt over all cores as they are read.
@@ -117,6 +119,27 @@ def text_bytes(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def release_memory() -> None:
+    """Give back what this process has freed: idle workers otherwise keep it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, after which the worker's freed memory is given back."""
+
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return run_and_release
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
 ) -> DataFrame:
@@ -126,11 +149,13 @@ def map_batches(
         step = make()
         for batch in batches:
             out = step(batch)
+            del batch  # not held while the next one is read
             if out is not None and out.num_rows:
                 yield out
+            del out
 
     bound_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 #: Bits of a membership table, whatever the number of members.

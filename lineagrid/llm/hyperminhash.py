@@ -38,6 +38,7 @@ from .common import (
     map_batches,
     materialise,
     record_batch,
+    releasing,
     text_bytes,
     where_in_table,
 )
@@ -311,7 +312,7 @@ def with_candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
     bound_batches(rows.sparkSession)
     schema = "bucket bigint, i int, j int, own int, band tinyint, rep bigint, component bigint"
-    return _in_blocks(made).mapInArrow(run, schema)
+    return _in_blocks(made).mapInArrow(releasing(run), schema)
 
 
 def _block_ends(batch: pa.RecordBatch) -> np.ndarray:
@@ -384,7 +385,7 @@ def compare_blocks(rows: DataFrame, classes: DataFrame, texts: DataFrame, chunk:
         if held:
             yield from _compare(held)
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def _compare(held: list[tuple]) -> Iterator[pa.RecordBatch]:

@@ -758,3 +758,14 @@ def test_linear_systems():
     assert np.allclose(linear.inverse(swapped), swapped)
     with pytest.raises(np.linalg.LinAlgError):
         linear.inverse(np.ones((3, 3)))
+
+
+def test_workers_stay_small(spark):
+    """Steps see small batches of texts, and a worker's memo of words is bounded."""
+
+    def make():
+        return lambda batch: common.record_batch(size=common.pa.array([batch.nbytes], type=common.pa.int64()))
+
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("alpha beta "), 200).alias("text"))
+    sizes = [r["size"] for r in common.map_batches(texts, make, "size bigint").collect()]
+    assert sum(sizes) > 12 << 20 and max(sizes) < 3 << 20
