@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Entries of a worker's memo, and the longest piece (bytes) that is kept.
-MEMO_ENTRIES = 1_000_000
+#: Entries of a worker's memo (about 150 bytes each), and the longest piece (bytes) that is kept.
+MEMO_ENTRIES = 400_000
 MEMO_PIECE = 48
 #: Word vocabularies drop white space, so any ASCII white space separates.
 WORD = "word"

@@ -769,3 +769,10 @@ def test_workers_stay_small(spark):
     texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("alpha beta "), 200).alias("text"))
     sizes = [r["size"] for r in common.map_batches(texts, make, "size bigint").collect()]
     assert sum(sizes) > 12 << 20 and max(sizes) < 3 << 20
+
+
+def test_memo_of_words_is_bounded():
+    encoder = WordEncoder(WORD)
+    for k in range(0, 600_000, 20_000):
+        encoder.look_up([b"%d" % n for n in range(k, k + 20_000)])
+    assert len(encoder.memo) + len(encoder.older) < 450_000
