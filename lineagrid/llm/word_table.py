@@ -8,8 +8,10 @@ return to their block, where word positions (ranks into the block's distinct
 words) turn into ids. A part of the table has a bounded size; words that come
 when it is full are encoded once for each block.
 
-Decoding joins each id with the vocabulary's id-to-piece table, whose size is
-that of the vocabulary.
+Decoding joins ids with the vocabulary's id-to-piece table, whose size is that
+of the vocabulary: some documents at a time are a group, and each distinct id
+of a group is a row of the join, from whose pieces the group's texts are put
+together.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise_bucketed, record_batch, shuffle_partitions
+from .common import bound_batches, map_batches, materialise_bucketed, record_batch, releasing, shuffle_partitions
 from .encoding import byte_letters, load_tokenizer, shared_encoder
 
 #: Bytes of text after which a block is closed; a longer document is a block of its own.
@@ -132,7 +134,7 @@ def split_into_blocks(docs: DataFrame, parts: int, block_bytes: int = BLOCK_BYTE
 
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"), spark_words(F.col("text")).alias("words"))
-    return materialise_bucketed(rows.mapInArrow(run, _SCHEMA), "blocks", "block", parts)
+    return materialise_bucketed(rows.mapInArrow(releasing(run), _SCHEMA), "blocks", "block", parts)
 
 
 def encode_words(words: DataFrame, tokenizer_path: str, parts: int, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -167,7 +169,7 @@ def encode_words(words: DataFrame, tokenizer_path: str, parts: int, table_words:
                 yield _rows(out)
 
     dealt = words.repartition(parts, "part").sortWithinPartitions("part", "block")
-    return dealt.mapInArrow(run, _SCHEMA)
+    return dealt.mapInArrow(releasing(run), _SCHEMA)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -176,6 +178,11 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES)
     Equals the library's ``encode(text, add_special_tokens=False)`` on the whole
     text; null is empty, repeated rows stay, other columns are not read.
     """
+    return _encoded(docs, tokenizer_path, block_bytes, lambda batch: batch, "doc_id bigint, ids array<int>")
+
+
+def _encoded(docs: DataFrame, tokenizer_path: str, block_bytes: int, shape, schema: str) -> DataFrame:
+    """``shape(batch)`` of batches ``doc_id, ids`` of some documents of a block."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     blocks = split_into_blocks(docs, parts, block_bytes)
@@ -196,9 +203,9 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES)
                     n = int.from_bytes(blob[:4], "little")
                     widths = np.frombuffer(blob, dtype="<u4", count=n, offset=4)
                     held.append((_unpack_ranks(answer["detail"]), widths, np.frombuffer(blob, dtype=dtype, offset=4 + 4 * n)))
-                yield from _restore(held, _unpack_ranks(payload), np.frombuffer(_expand(detail), "<u4"), doc_ids)
+                yield from map(shape, _restore(held, _unpack_ranks(payload), np.frombuffer(_expand(detail), "<u4"), doc_ids))
 
-    return both.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return both.mapInArrow(releasing(run), schema)
 
 
 def _restore(held, ranks: np.ndarray, counts: np.ndarray, doc_ids: list) -> Iterator[pa.RecordBatch]:
@@ -248,53 +255,67 @@ class PieceTable:
         return (pieces[:-1] if self.spaced else pieces).decode("utf-8", "replace")
 
 
-def _with_texts(encoded: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFrame:
-    """``finish(doc_ids, ids, texts)`` of some documents of ``doc_id, ids`` at a time.
+_GROUPS = "doc_ids array<bigint>, counts array<int>, ids binary, own array<int>"
+
+
+def _group(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The documents ``doc_id, ids`` of a batch as one row: all ids, and the distinct ones."""
+    counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0)
+    ids = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i4")
+    return record_batch(
+        doc_ids=pa.array([batch.column(0).to_pylist()], type=pa.list_(pa.int64())),
+        counts=pa.array([counts.to_numpy(zero_copy_only=False)], type=pa.list_(pa.int32())),
+        ids=pa.array([ids.tobytes()], type=pa.binary()),
+        own=pa.array([np.unique(ids)], type=pa.list_(pa.int32())),
+    )
+
+
+def _with_texts(groups: DataFrame, tokenizer_path: str, finish, schema: str) -> DataFrame:
+    """``finish(doc_ids, ids, texts)`` of each of ``groups``, rows that ``_group`` made.
 
-    Ids meet their pieces in a join. The table of pieces has the size of the
-    vocabulary, so it is broadcast, and the ids of a document stay in their
-    order, in the task that exploded them.
+    The distinct ids of a group meet their pieces in a join. The table of
+    pieces has the size of the vocabulary, so it is broadcast, and the rows of
+    a group stay together, in the task that exploded them; the first one
+    brings the documents.
     """
-    spark = encoded.sparkSession
+    spark = groups.sparkSession
     table = PieceTable(tokenizer_path)
-    numbered = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids")
-    each = numbered.select("row", "doc_id", F.explode_outer("ids").alias("id"))
-    joined = each.join(F.broadcast(table.rows(spark)), "id", "left").select("row", "doc_id", "id", "piece")
+    numbered = groups.select(F.monotonically_increasing_id().alias("row"), "doc_ids", "counts", "ids", "own")
+    each = numbered.select("row", "doc_ids", "counts", "ids", F.posexplode_outer("own").alias("pos", "id"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    each = each.select("row", "id", *[F.when(first, F.col(c)).alias(c) for c in ("doc_ids", "counts", "ids")])
+    joined = each.join(F.broadcast(table.rows(spark)), "id", "left").select("row", "id", "piece", "doc_ids", "counts", "ids")
     shape = PieceTable.__new__(PieceTable)  # what workers need: not the pieces
     shape.spaced = table.spaced
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, doc_id, held = None, None, []  # the last document of a batch may go on in the next one
+        now, held, own, pieces = None, None, [], []  # the last group of a batch may go on in the next one
         for batch in batches:
             rows = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist(), batch.num_rows]
-            ids = batch.column(2).fill_null(-1).to_numpy()
-            pieces = batch.column(3).fill_null(b"")
-            offsets = np.frombuffer(pieces.buffers()[1], "<i4", len(pieces) + 1, 4 * pieces.offset)
-            data = memoryview(pieces.buffers()[2] or b"")
-            done: tuple[list, list, list] = ([], [], [])
             for a, b in zip(cuts, cuts[1:]):
                 if rows[a] != now:
-                    if now is not None:
-                        _put(done, doc_id, held, shape)
-                    now, doc_id, held = rows[a], batch.column(1)[a].as_py(), []
-                held.append((ids[a:b], bytes(data[offsets[a] : offsets[b]])))
-            if done[0]:
-                yield finish(*done)
-        if now is not None:
-            done = ([], [], [])
-            _put(done, doc_id, held, shape)
-            yield finish(*done)
+                    if held is not None:
+                        yield finish(*_texts(held, own, pieces, shape))
+                    now, own, pieces = rows[a], [], []
+                    held = [batch.column(k)[a].as_py() for k in (3, 4, 5)]
+                own += batch.column(1).slice(a, b - a).to_pylist()
+                pieces += batch.column(2).slice(a, b - a).to_pylist()
+        if held is not None:
+            yield finish(*_texts(held, own, pieces, shape))
 
     bound_batches(spark)
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(releasing(run), schema)
 
 
-def _put(done: tuple[list, list, list], doc_id: int | None, held: list, shape: PieceTable) -> None:
-    ids = np.concatenate([h[0] for h in held])
-    done[0].append(doc_id)
-    done[1].append(ids[ids >= 0])
-    done[2].append(shape.text(b"".join(h[1] for h in held)))
+def _texts(held: list, own: list[int | None], pieces: list[bytes | None], shape: PieceTable) -> tuple[list, list, list]:
+    """``doc_ids, ids, texts`` of a group from its distinct ids and their pieces; an id without a piece stands for nothing."""
+    doc_ids, counts, packed = held
+    table = dict(zip(own, (p or b"" for p in pieces)))
+    ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).tolist()
+    ids = np.frombuffer(packed, dtype="<i4")
+    each = [ids[a:b] for a, b in zip(ends, ends[1:])]
+    return doc_ids, each, [shape.text(b"".join(map(table.__getitem__, x.tolist()))) for x in each]
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -303,7 +324,8 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     def finish(doc_ids: list, ids: list, texts: list) -> pa.RecordBatch:
         return record_batch(doc_id=pa.array(doc_ids, type=pa.int64()), text=pa.array(texts, type=pa.string()))
 
-    return _with_texts(encoded.select("doc_id", "ids"), tokenizer_path, finish, "doc_id bigint, text string")
+    groups = map_batches(encoded.select("doc_id", "ids"), lambda: _group, _GROUPS)
+    return _with_texts(groups, tokenizer_path, finish, "doc_id bigint, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -321,4 +343,5 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         )
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return _with_texts(encode(docs, tokenizer_path), tokenizer_path, finish, schema)
+    groups = _encoded(docs, tokenizer_path, BLOCK_BYTES, _group, _GROUPS)
+    return _with_texts(groups, tokenizer_path, finish, schema)

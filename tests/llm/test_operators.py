@@ -776,3 +776,14 @@ def test_memo_of_words_is_bounded():
     for k in range(0, 600_000, 20_000):
         encoder.look_up([b"%d" % n for n in range(k, k + 20_000)])
     assert len(encoder.memo) + len(encoder.older) < 450_000
+
+
+def test_decoding_joins_distinct_ids(spark, monkeypatch):
+    """A group's ids join once each, however often they occur; its documents come back whole and in their order."""
+    rows = [(k, [5, 6, 7, 6] * 500 if k % 3 else []) for k in range(90)]
+    encoded = spark.createDataFrame(rows, "doc_id bigint, ids array<int>").coalesce(1)
+    tokenizer = Tokenizer.from_file(WORD)
+    found = word_table.decode(encoded, WORD)
+    assert [(r["doc_id"], r["text"]) for r in found.collect()] == [(k, tokenizer.decode(i, skip_special_tokens=False)) for k, i in rows]
+    groups = word_table._group(common.record_batch(**{n: common.pa.array(c) for n, c in zip(("doc_id", "ids"), zip(*rows))}))
+    assert groups.num_rows == 1 and groups.column(3).to_pylist() == [[5, 6, 7]]
