@@ -158,6 +158,23 @@ def map_batches(
     return df.mapInArrow(releasing(run), schema)
 
 
+#: Bytes of texts that an encoder takes at once: larger batches repeat fewer words but hold more of a worker's memory.
+GATHERED_BYTES = 8 << 20
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in their order, in batches of ``size`` bytes at most; a larger batch stays as it is."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+        del batch
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: Bits of a membership table, whatever the number of members.
 TABLE_BITS = 1 << 25
 

@@ -37,6 +37,10 @@ _BEFORE_BREAK = (*b"\t\r\v\f", 0x80, 0x85, 0xA0)
 _LONG_BREAKS = (*(b"\n" + bytes([x]) for x in _AFTER_BREAK), *(bytes([x]) + b"\n" for x in _BEFORE_BREAK))
 _PROSE_UNSAFE, _PROSE_BREAKS = (b"  ", b" \n"), (b"\n\n", b"\n ")
 _SAFE_CUT = re.compile(rb"(?= [^\s\xc2\xe1-\xe3])")
+# Marks that end a word in running text; an apostrophe may begin a unit with letters, so it is none.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+# Runs of marks whose ids a worker keeps at most.
+_MARK_RUNS = 10_000
 # Prefixes of pieces in byte vocabularies; other pieces follow a space.
 _MARK, _FIRST = b"\x01", b"\x02"
 
@@ -107,6 +111,7 @@ class WordEncoder:
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, [*added, _MARK, _FIRST])))
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.mark_runs: dict[str, bytes] = {"": b""}
         self.memo_entries = memo_entries
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -125,22 +130,34 @@ class WordEncoder:
         """Packed ids of each piece.
 
         A piece of letters only is one unit of the vocabulary's splitter and
-        goes to the library's merge model as it is; any other goes through the
-        whole library.
+        goes to the library's merge model as it is; so are letters and the
+        marks that end the piece, each. Any other goes through the whole
+        library.
         """
         tokenize, letters, spaced = self.tokenizer.model.tokenize, self.letters, self.family == BYTE
+        code, runs = self.code, self.mark_runs
         out = []
         for piece in pieces:
-            text, space = piece.decode("utf-8", "replace"), " " if spaced else ""
-            if spaced and piece[:1] == _FIRST:
-                text, space = text[1:], ""
-            if len(piece) <= MEMO_PIECE and text.isalpha() and (text.isascii() or max(text) <= "\xff"):
-                # Word vocabularies fold case; Latin-1 letters are composed already.
-                unit = space + text if spaced else text.lower()
-                unit = unit.encode().decode("latin-1").translate(letters)
-                out.append(array(self.code, [t.id for t in tokenize(unit)]).tobytes())
-            else:
-                out.append(self.encode_text(self.piece_text(piece)))
+            if len(piece) <= MEMO_PIECE:
+                text, space = piece.decode("utf-8", "replace"), " " if spaced else ""
+                if spaced and (piece[:1] == _FIRST or piece[:1] == _MARK):
+                    text, space = text[1:], ""
+                word = text.rstrip(_MARKS)
+                if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                    # Word vocabularies fold case; Latin-1 letters are composed already.
+                    unit = space + word if spaced else word.lower()
+                    if spaced or not unit.isascii():
+                        unit = unit.encode().decode("latin-1").translate(letters)
+                    ids = array(code, [t.id for t in tokenize(unit)]).tobytes()
+                    marks = text[len(word) :]
+                    if marks not in runs:
+                        if len(runs) > _MARK_RUNS:
+                            runs.clear()
+                            runs[""] = b""
+                        runs[marks] = array(code, [t.id for t in tokenize(marks)]).tobytes()
+                    out.append(ids + runs[marks])
+                    continue
+            out.append(self.encode_text(self.piece_text(piece)))
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import bound_batches, map_batches, materialise, record_batch, shuffle_partitions, text_bytes
+from .common import bound_batches, gathered, map_batches, materialise, record_batch, releasing, shuffle_partitions, text_bytes
 from .encoding import shared_encoder
 
 #: A segment is closed when it holds this many ids; a longer document has one of its own.
@@ -77,7 +77,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_id
         end = np.array([end_id], dtype=encoder.dtype)
         part = TaskContext.get().partitionId()
         number, size, ids_of, held = 0, 0, [], []
-        for batch in batches:
+        for batch in gathered(batches):
             for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 ids = np.append(np.frombuffer(packed, dtype=encoder.dtype), end)
                 if held and size + len(ids) > segment_ids:
@@ -89,7 +89,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_id
         if held:
             yield _segment(part, number, ids_of, held)
 
-    return materialise(dealt.mapInArrow(run, SEGMENT_SCHEMA), "segments")
+    return materialise(dealt.mapInArrow(releasing(run), SEGMENT_SCHEMA), "segments")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from lineagrid.llm import (
     common,
     components,
     cutting_stock,
+    encoding,
     hyperminhash,
     linear,
     log_templates,
@@ -85,6 +86,32 @@ def test_encoder_equals_the_library(path):
         assert encoder.encode([t.encode() for t in texts[at : at + 40]]) == expected[at : at + 40]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_letters_and_marks_spare_the_library(path, monkeypatch):
+    """Words with marks behind them go to the merge model in two parts, and the ids are those of the library."""
+    encoder, rng = WordEncoder(path), random.Random(2)
+    words = ["Straße", "wort", "ÉTÉ", "a", "ªº", "µm", "Ñandú", "zzxqj"]
+    marks = ["", ",", ".", "###", "!!", "_", "<|", "|>", "$$$", ".,-", "^`~", "&%", '"', ")]}"]
+    pieces = [(w + m).encode() for w in words for m in marks]
+    expected = [np.array(encoder.tokenizer.encode(encoder.piece_text(p).decode(), add_special_tokens=False).ids, encoder.dtype).tobytes() for p in pieces]
+    odd = ["it's", "dogs'", "x1", "1", "ab'###", "×,", "÷", "中,", "a\u0301,", "Σας.", "<|endoftext|>", "a<|endoftext|>", "word"]
+    by_library = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in odd]
+    assert encoder.encode([t.encode() for t in odd]) == by_library
+    monkeypatch.setattr(encoder, "encode_text", None)
+    assert encoder.encode_pieces(pieces) == expected
+    monkeypatch.setattr(encoding, "_MARK_RUNS", 100)
+    encoder.encode_pieces([b"a" + bytes(rng.choice(b"!#$%&*+") for _ in range(9)) for _ in range(1000)])
+    assert len(encoder.mark_runs) <= 102
+
+
+def test_encoders_gather_batches():
+    """Small Arrow batches are put together within a bound, rows stay in order, a large batch stays alone."""
+    batches = [common.record_batch(x=common.pa.array([b"%d" % k * n], type=common.pa.binary())) for k, n in enumerate([10, 10, 10, 500, 10, 0])]
+    found = list(common.gathered(iter(batches), 100))
+    assert [b.num_rows for b in found] == [3, 1, 2] and list(common.gathered(iter([]))) == []
+    assert [v for b in found for v in b.column(0).to_pylist()] == [b"%d" % k * n for k, n in enumerate([10, 10, 10, 500, 10, 0])]
+
+
 # 1 packing
 
 
