@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -110,7 +111,7 @@ class WordEncoder:
         self.family = tokenizer_family(self.tokenizer)
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, [*added, _MARK, _FIRST])))
-        self.letters = {b: c for c, b in byte_letters().items()}
+        self.letters = "".join(sorted(byte_letters(), key=byte_letters().get))  # of byte 0, 1, ...
         self.mark_runs: dict[str, bytes] = {"": b""}
         self.memo_entries = memo_entries
         self.memo: dict[bytes, bytes] = {}
@@ -147,7 +148,7 @@ class WordEncoder:
                     # Word vocabularies fold case; Latin-1 letters are composed already.
                     unit = space + word if spaced else word.lower()
                     if spaced or not unit.isascii():
-                        unit = unit.encode().decode("latin-1").translate(letters)
+                        unit = charmap_decode(unit.encode(), "strict", letters)[0]
                     ids = array(code, [t.id for t in tokenize(unit)]).tobytes()
                     marks = text[len(word) :]
                     if marks not in runs:
@@ -208,7 +209,7 @@ class WordEncoder:
         column = pa.array(texts, type=pa.binary()).view(pa.string())
         split = pc.ascii_split_whitespace(column) if self.family == WORD else pc.split_pattern(column, " ")
         coded = split.values.dictionary_encode()
-        found = self.look_up(coded.dictionary.view(pa.binary()).to_pylist())
+        found = self.look_up(coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist())
         ids = np.frombuffer(b"".join(found), dtype=self.dtype)
         widths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
         firsts = np.concatenate(([0], np.cumsum(widths)))

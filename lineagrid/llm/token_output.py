@@ -35,17 +35,16 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     a null doc_id stays null; repeated rows stay.
     """
 
-    def make():
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer_path)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        for batch in gathered(batches):
             ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-            return record_batch(doc_id=batch.column(0), ids=pa.array(ids, type=pa.binary()))
-
-        return step
+            yield record_batch(doc_id=batch.column(0), ids=pa.array(ids, type=pa.binary()))
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint"), text_bytes()), make, "doc_id bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), text_bytes()).mapInArrow(releasing(run), "doc_id bigint, ids binary")
 
 
 def _segment(part: int, number: int, docs: list[int | None], held: list[np.ndarray]) -> pa.RecordBatch:
