@@ -61,15 +61,25 @@ _written: list[str] = []
 _tables: list[str] = []
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+#: Spark deletes the shuffle files of a query when it ends, not only when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str = "table", tidy: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts lineage and fixes every nondeterministic id; the files survive lost
-    executors. They are deleted when the driver's Python ends.
+    executors. They are deleted when the driver's Python ends. With ``tidy``,
+    the shuffle files of the write, which nothing reads again, go as it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lineagrid-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true" if tidy else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if not _written:
         atexit.register(_remove_written)
     _written.append(path)

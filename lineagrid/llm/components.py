@@ -35,10 +35,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = links.where("a is not null and b is not null and a != b").select(high.alias("a"), low.alias("b")).distinct()
-    edges = materialise(edges, "links")
+    edges = materialise(edges, "links", tidy=True)
     mark = None
     while True:
-        nxt = materialise(_star(_star(edges, True), False), "links")
+        nxt = materialise(_star(_star(edges, True), False), "links", tidy=True)
         seen = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
         discard(edges)
         edges = nxt

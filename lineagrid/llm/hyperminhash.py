@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import (
     bit_table,
     bound_batches,
+    discard,
     fresh,
     join_hot,
     join_salted,
@@ -181,17 +182,21 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     rows = rows.select("rep", "weight", "band", key.alias("key")).where(F.col("key") != F.lit(bytes(2 * ROWS)))
     rows = rows.select(F.xxhash64("band", "key").alias("bucket"), F.col("band").cast("tinyint").alias("band"), "rep", "weight")
     rows = rows.unionByName(_rare_shingles(classes).withColumn("weight", F.lit(1)))
-    shared = materialise(_shared(rows, "rep"), "shared")
-    rows = materialise(where_in_table(rows, F.col("bucket"), bit_table(shared, "bucket")), "likely")
-    return materialise(join_hot(rows, shared, ["bucket"], "n").select("bucket", "band", "rep", "weight").distinct(), "buckets")
+    shared = materialise(_shared(rows, "rep"), "shared", tidy=True)
+    rows = materialise(where_in_table(rows, F.col("bucket"), bit_table(shared, "bucket")), "likely", tidy=True)
+    found = join_hot(rows, shared, ["bucket"], "n").select("bucket", "band", "rep", "weight").distinct()
+    found = materialise(found, "buckets", tidy=True)
+    for used in (shared, rows):
+        discard(used)
+    return found
 
 
 def _rare_shingles(classes: DataFrame) -> DataFrame:
     short = classes.where("few is not null").select("rep", "n_shingles", F.explode("few").alias("shingle"))
     uses = short.groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 1")
-    uses = materialise(uses, "uses")
+    uses = materialise(uses, "uses", tidy=True)
     # Shingles that no other short set has come first in the order, and are told by not being in the table.
-    common = materialise(where_in_table(short, F.col("shingle"), bit_table(uses, "shingle")), "short")
+    common = materialise(where_in_table(short, F.col("shingle"), bit_table(uses, "shingle")), "short", tidy=True)
     ranked = join_hot(common, uses, ["shingle"], "uses").groupBy("rep", "n_shingles")
     ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("uses", "shingle"))).alias("ranked"))  # at most _SHORT a set
     own = F.col("n_shingles").cast("int") - F.size("ranked")
@@ -209,7 +214,7 @@ def active_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     table = bit_table(ids.select(F.xxhash64("id").alias("h")), "h")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), text_bytes().alias("text"))
     rows = where_in_table(rows, F.xxhash64("id"), table)
-    return materialise(rows.join(ids.select("id").distinct(), "id", "left_semi"), "texts")
+    return materialise(rows.join(ids.select("id").distinct(), "id", "left_semi"), "texts", tidy=True)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -254,8 +259,10 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of buckets that hold several components; ``rows`` is a written table, and so is the result."""
-    shared = materialise(_shared(rows, "component"), "shared")
-    return materialise(join_hot(rows, shared, ["bucket"], "n").drop("n"), "mixed")
+    shared = materialise(_shared(rows, "component"), "shared", tidy=True)
+    found = materialise(join_hot(rows, shared, ["bucket"], "n").drop("n"), "mixed", tidy=True)
+    discard(shared)
+    return found
 
 
 def star_pairs(rows: DataFrame, hubs: int = HUBS) -> DataFrame:
@@ -263,9 +270,13 @@ def star_pairs(rows: DataFrame, hubs: int = HUBS) -> DataFrame:
     orders = [F.col("rep"), *(F.xxhash64("rep", F.lit(k)) for k in range(1, hubs))]
     chosen = [F.min(F.struct(o.alias("order"), "rep"))["rep"] for o in orders]
     found = rows.groupBy("bucket").agg(F.array(*chosen).alias("hubs"), F.count("*").alias("n"))
-    rows = join_hot(rows, materialise(found, "hubs"), ["bucket"], "n")
+    found = materialise(found, "hubs", tidy=True)
+    rows = join_hot(rows, found, ["bucket"], "n")
     rows = rows.select("rep", F.explode(F.array_distinct("hubs")).alias("hub")).where("hub != rep")
-    return materialise(rows.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "pairs")
+    pairs = rows.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs", tidy=True)
+    discard(found)
+    return pairs
 
 
 def dealt_to_blocks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -278,7 +289,7 @@ def dealt_to_blocks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     largest = F.max(F.struct("w", "component")).alias("main")
-    sizes = materialise(sizes.groupBy("bucket").agg(largest, F.sum("n").alias("n"), F.sum("w").alias("w")), "sizes")
+    sizes = materialise(sizes.groupBy("bucket").agg(largest, F.sum("n").alias("n"), F.sum("w").alias("w")), "sizes", tidy=True)
     rows = join_hot(rows, sizes, ["bucket"], "n")
     chunks = lambda w: F.ceil(w / F.lit(float(chunk))).cast("int")
     mains, others = chunks(F.col("main.w")), chunks(F.col("w") - F.col("main.w"))
@@ -368,7 +379,7 @@ def compare_blocks(rows: DataFrame, classes: DataFrame, texts: DataFrame, chunk:
     many classes share the bucket. A pair is compared in its first common
     bucket only, and a comparison returns only links that join components anew.
     """
-    likely = materialise(with_candidates(dealt_to_blocks(rows, chunk), classes), "likely").distinct()
+    likely = materialise(with_candidates(dealt_to_blocks(rows, chunk), classes), "likely", tidy=True).distinct()
     made = classes.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "sketch", "n_shingles", "text")
     rows = _in_blocks(likely.join(made, "rep"))
     rows = rows.select("bucket", "i", "j", "own", "band", "rep", "component", "sketch", "n_shingles", "text")
@@ -434,26 +445,33 @@ def near_groups(docs: DataFrame) -> DataFrame:
     are one node. A null doc_id joins the component of equal sets and is not
     kept; without such, its component is null. Other columns are not read.
     """
-    described = materialise(describe(docs), "described")
+    described = materialise(describe(docs), "described", tidy=True)
     linkable = described.where("n_shingles > 0 and doc_id is not null")
     same = linkable.groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("few").alias("few")
     )
-    classes = materialise(same, "classes")
+    classes = materialise(same, "classes", tidy=True)
     buckets = bucket_rows(classes)
     texts = active_texts(docs, buckets.select(F.col("rep").alias("id")).distinct())
     twice = linkable.join(classes.select("digest", "rep"), "digest").where("doc_id != rep")
     shared = linkable.groupBy("doc_id").agg(F.countDistinct("digest").alias("n")).where("n > 1")
     links = twice.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    likely = _estimated(star_pairs(buckets), classes)
+    pairs = star_pairs(buckets)
+    likely = _estimated(pairs, classes)
     best = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
-    likely = materialise(likely.withColumn("k", F.row_number().over(best)).where(f"k <= {HUBS}"), "likely")
-    links = links.unionByName(materialise(confirm(likely, texts), "found"))
-    found = materialise(components(links), "components")
-    rows = _mixed(materialise(_with_component(buckets, found), "labelled"))
-    more = materialise(compare_blocks(rows, classes, texts), "found")
+    likely = materialise(likely.withColumn("k", F.row_number().over(best)).where(f"k <= {HUBS}"), "likely", tidy=True)
+    discard(pairs)
+    links = links.unionByName(materialise(confirm(likely, texts), "found", tidy=True))
+    found = materialise(components(links), "components", tidy=True)
+    labelled = materialise(_with_component(buckets, found), "labelled", tidy=True)
+    discard(buckets)
+    rows = _mixed(labelled)
+    discard(labelled)
+    more = materialise(compare_blocks(rows, classes, texts), "found", tidy=True)
+    for used in (texts, rows):
+        discard(used)
     whole = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = materialise(components(whole.unionByName(more)), "components")
+    found = materialise(components(whole.unionByName(more)), "components", tidy=True)
     label = found.select(F.col("node").alias("rep"), "component")
     class_of = classes.select("digest", "rep").join(label, "rep", "left")
     class_of = class_of.select("digest", F.coalesce("component", "rep").alias("component_id"))
@@ -473,10 +491,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     made = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))
     node = fresh(docs, "_node")
     rows = docs.withColumn(node, F.coalesce(F.col("doc_id").cast("bigint"), made))
-    groups = materialise(near_groups(rows.select(F.col(node).alias("doc_id"), "text")), "groups")
+    groups = materialise(near_groups(rows.select(F.col(node).alias("doc_id"), "text")), "groups", tidy=True)
     gone = groups.where("not kept and component_id is not null").select(F.col("doc_id").alias(node))
     twice = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(node))
-    suspect = materialise(gone.unionByName(twice).distinct(), "suspects")
+    suspect = materialise(gone.unionByName(twice).distinct(), "suspects", tidy=True)
     table = bit_table(suspect.select(F.xxhash64(node).alias("h")), "h")
     sure = where_in_table(rows, F.xxhash64(node), table, inside=False)
     rest = where_in_table(rows, F.xxhash64(node), table).join(gone, node, "left_anti").dropDuplicates([node])

@@ -549,6 +549,34 @@ def test_short_sets_always_meet(spark):
     assert {m for m in met if len(m) > 1} == {(2 * k, 2 * k + 1) for k in range(150)}
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while found.hasNext():
+        names.add(found.next().getName())
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_finished_steps_leave_no_files(spark, monkeypatch, tmp_path):
+    setting = spark.conf.get(common.CLEANUP)
+    rows = [(b, 0, r, 1) for b in range(20) for r in range(b, b + 9)]
+    table = common.materialise(spark.createDataFrame(rows, "bucket bigint, band tinyint, rep bigint, weight int"))
+    before = shuffle_files(spark)
+    pairs = hyperminhash.star_pairs(table)
+    until = time.time() + 10  # files are deleted in the background
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and pairs.count() > 100
+    assert spark.conf.get(common.CLEANUP) == setting
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    words = [f"w{k}" for k in range(200)]
+    texts = [(k, " ".join(words[:50] + words[60 + k : 65 + k])) for k in range(6)] + [(9, "a b c d e f")]
+    found = hyperminhash.near_groups(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    left = {p.name.split("-")[1] for p in tmp_path.iterdir()}
+    assert left.isdisjoint({"hubs", "pairs", "buckets", "labelled", "mixed", "texts"}) and {"described", "classes"} <= left
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(k, 0) for k in range(6)] + [(9, 9)]
+
+
 def test_blocks_of_a_hot_bucket(spark):
     """Each pair of different components meets once, and a large component does not meet itself."""
     rows = [(7, 0, k, 1, 0) for k in range(40)] + [(7, 0, 100 + k, 1, 100 + k % 3) for k in range(9)] + [(8, 1, k, 3, k) for k in range(6)]
