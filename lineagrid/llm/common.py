@@ -74,7 +74,7 @@ def materialise(df: DataFrame, name: str = "table", tidy: bool = False) -> DataF
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lineagrid-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true" if tidy else before)
     try:
         df.write.option("compression", "zstd").parquet(path)

@@ -50,8 +50,8 @@ SHINGLE = 5
 THRESHOLD = 75
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
-#: Estimates this many standard deviations under the threshold are not confirmed (a chance of 3 in ten million).
-SLACK = 5.0
+#: Estimates this many standard deviations under the threshold are not confirmed (at 0.75 a chance of about one in a hundred million).
+SLACK = 6.0
 #: A link whose smaller set has at most this many shingles is found for certain: no estimate, and a way beside the bands.
 SMALL = 32
 _SHORT = 100 * SMALL // THRESHOLD  # the largest set that such a set can be linked with

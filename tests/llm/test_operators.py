@@ -615,6 +615,15 @@ def test_estimates_are_unbiased():
     assert abs(np.mean(found) - 0.75) < 0.03
 
 
+def test_only_far_estimates_are_dropped():
+    """Six standard deviations under the threshold: 67 of 128 registers."""
+    a = np.arange(1, 129, dtype="<u2")[None]
+    n = np.array([1000])
+    for equal, kept in ((96, True), (70, True), (68, True), (66, False)):
+        b = np.where(np.arange(128) < equal, a, a + 500).astype("<u2")
+        assert hyperminhash.may_link(a, b, n, n)[1][0] == kept
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(501, 560)]
