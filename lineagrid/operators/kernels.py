@@ -53,7 +53,7 @@ def in_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("to").agg(F.count("*").alias("in_degree"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Cut lineage in loops: a reliable checkpoint where the session has a folder for it, else the cache."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -66,10 +66,10 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def _settled(df: DataFrame, step, measure: Column) -> DataFrame:
     """``step`` applied until ``measure``, an aggregate, stays; each round is kept and the one before it released."""
-    found = _kept(df)
+    found = kept(df)
     mark = found.agg(measure).first()[0]
     while True:
-        following = _kept(step(found))
+        following = kept(step(found))
         now = following.agg(measure).first()[0]
         found.unpersist()
         found = following
@@ -109,7 +109,7 @@ def cycle_members(edges: DataFrame) -> DataFrame:
         nodes = core.select(F.col("from").alias("node")).distinct().withColumn("colour", F.col("node"))
         coloured = _settled(nodes, colour, F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)")))
         ends = [coloured.select(F.col("node").alias(e), F.col("colour").alias(f"c_{e}")) for e in ("from", "to")]
-        same = _kept(core.join(ends[0], "from").join(ends[1], "to").where("c_from = c_to").select("from", "to", F.col("c_to").alias("colour")))
+        same = kept(core.join(ends[0], "from").join(ends[1], "to").where("c_from = c_to").select("from", "to", F.col("c_to").alias("colour")))
 
         def back(own: DataFrame) -> DataFrame:
             step = same.join(own.select(F.col("node").alias("to"), "colour"), ["to", "colour"]).select(F.col("from").alias("node"), "colour")
@@ -131,16 +131,21 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     In a graph without cycles no way is longer than its nodes are many, so a
     further round that still changes a level raises ``ValueError``. Links to
-    nodes that ``nodes`` does not list, and null ends, are ignored.
+    nodes that ``nodes`` does not list, and null ends, are ignored. What makes
+    the links runs once, not in every round.
     """
-    found = _kept(nodes.select(F.col("node"), F.lit(0).alias("level")).distinct())
-    for _ in range(found.count() + 1):
+    edges = kept(edges)
+    found = kept(nodes.select(F.col("node"), F.lit(0).alias("level")).distinct())
+    size, mark = found.agg(F.count("*"), F.sum("level")).first()
+    for _ in range(size + 1):
         step = edges.join(found, edges["to"] == found["node"]).groupBy("from").agg((F.max("level") + 1).alias("up"))
         joined = found.join(step, found["node"] == step["from"], "left")
-        nxt = _kept(joined.select("node", F.greatest("level", F.coalesce("up", "level")).alias("level")))
-        if nxt.join(found, ["node", "level"], "left_anti").isEmpty():
+        nxt = kept(joined.select("node", F.greatest("level", F.coalesce("up", "level")).alias("level")))
+        now = nxt.agg(F.sum("level")).first()[0]  # no level ever falls, so an equal sum has equal levels
+        found.unpersist()
+        if now == mark:
             return nxt
-        found = nxt
+        found, mark = nxt, now
     raise ValueError("the graph has a cycle")
 
 

@@ -622,8 +622,8 @@ up(node, level) AS (SELECT node, 0 FROM nodes UNION SELECT f, level + 1 FROM e J
 SELECT node, max(level) AS level FROM up GROUP BY node"""
 )
 def k_topo_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels of the trade from nations with smaller keys to those with larger ones, which has no cycle."""
-    trade = _trade(spark, sf_dir).select("from", "to")
+    """Levels of the trade from nations with smaller keys to those with larger ones, which has no cycle; tables are read once."""
+    trade = kernels.kept(_trade(spark, sf_dir).select("from", "to"))
     nations = trade.select(F.col("from").alias("node")).union(trade.select("to")).distinct()
     return kernels.levels(kernels.distinct_edges(trade, "from", "to").where("from < to"), nations)
 

@@ -346,6 +346,39 @@ def test_levels_end_on_cycles(spark):
         kernels.levels(edges, names)
 
 
+def test_levels_make_their_links_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def see(row):
+        read.add(1)
+        return row
+
+    lines = [(10 * a + b, b) for a in range(6) for b in range(6)]
+    made = {
+        "customer": spark.createDataFrame([(k, k) for k in range(6)], "c_custkey bigint, c_nationkey int"),
+        "supplier": spark.createDataFrame([(k, k) for k in range(6)], "s_suppkey bigint, s_nationkey int"),
+        "orders": spark.createDataFrame([(n, n // 10) for n, _ in lines], "o_orderkey bigint, o_custkey bigint"),
+        "lineitem": spark.createDataFrame(spark.sparkContext.parallelize(lines, 2).map(see), "l_orderkey bigint, l_suppkey bigint"),
+    }
+    monkeypatch.setattr(queries, "_table", lambda spark, sf_dir, name: made[name])
+    assert {r["node"]: r["level"] for r in queries.queries()["k_topo_level"](spark, "").collect()} == {k: 5 - k for k in range(6)}
+    assert read.value == len(lines)
+
+
+def test_levels_of_links_that_are_a_plan(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def see(row):
+        read.add(1)
+        return row
+
+    links = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("e", "gone"), (None, "d"), ("e", None)]
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(links, 2).map(see), "`from` string, `to` string")
+    names = spark.createDataFrame([(n,) for n in ("a", "b", "c", "d", "e", None)], "node string")
+    assert {r["node"]: r["level"] for r in kernels.levels(edges, names).collect()} == {"a": 3, "b": 2, "c": 1, "d": 0, "e": 0, None: 0}
+    assert read.value == len(links)
+
+
 def test_cycle_members(spark):
     rng = random.Random(2)
     pairs = [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(55)] + [(100, 101), (101, 100), (102, 102)]
